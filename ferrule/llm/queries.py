@@ -6,10 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ferrule.llm.decontaminate import OP8_SQL, op8_decontamination
+from ferrule.llm.mixing import op3_mixing
 from ferrule.llm.ngram_join import op1_ngram_join
+from ferrule.llm.quality import op6_quality_rules
+from ferrule.llm.sharding import op9_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
+    "op3_mixing": op3_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_decontamination": op8_decontamination,
+    "op9_sharding": op9_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_decontamination": OP8_SQL,
+}
