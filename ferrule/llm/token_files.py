@@ -31,7 +31,7 @@ from ferrule.llm.common import arrow_map, shared_dir, table
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 500
 #: Pieces whose ids a task remembers.
-SEEN_PIECES = 300_000
+SEEN_PIECES = 1_000_000
 _IRREGULAR = re.compile(r"\s | \s")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -49,17 +49,39 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.whole: dict[str, bytes] = {}
-        self.after_space: dict[str, bytes] = {"": self._new([" "])[0]}
+        self.line_end = int(np.frombuffer(self._new(["\n"])[0], "<u4")[0])
+        self.after_space: dict[str, bytes] = {}
 
     def _new(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _together(self, words: list[str], prefix: str) -> list[bytes]:
+        """Ids of many words by one call: line ends between them are tokens of their own."""
+        if not words:
+            return []
+        ids = np.array(self.tokenizer.encode_batch_fast([prefix + ("\n" + prefix).join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == self.line_end)
+        if len(cut) != len(words) - 1:
+            return self._new([prefix + w for w in words])
+        data, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+
     def _learn(self, pieces, seen: dict[str, bytes], prefix: str) -> None:
         fresh = [p for p in set(pieces) if p not in seen]
         if len(seen) + len(fresh) > SEEN_PIECES:
             seen.clear()
             fresh = list(set(pieces))
-        seen.update(zip(fresh, self._new([prefix + p for p in fresh]), strict=True))
+        # words without white space or marks of special tokens can be encoded together after a space
+        plain = [p for p in fresh if prefix and p.split() == [p] and "<" not in p]
+        seen.update(zip(plain, self._together(plain, prefix), strict=True))
+        other = [p for p in fresh if p not in seen]
+        seen.update(zip(other, self._new([prefix + p for p in other]), strict=True))
+
+    def prepare(self, texts: list[str]) -> None:
+        """Learn the new words of several texts by one call."""
+        new = {p for t in texts for p in t.split(" ")[1:] if p not in self.after_space}
+        if new:
+            self._learn(new, self.after_space, " ")
 
     def encode(self, text: str) -> bytes:
         if _IRREGULAR.search(text):
@@ -99,6 +121,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(a, 256).to_pylist()
+                enc.prepare([t for t in texts if t])
                 ids = [enc.encode(t or "") + end for t in texts]
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = first + np.cumsum(lengths)
