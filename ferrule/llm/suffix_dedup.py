@@ -159,7 +159,7 @@ def opened(docs: DataFrame, first: DataFrame, rows: DataFrame, schema: str, fn)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(t1, t2, spans): for each class of equal texts, the repeated spans (s, e), sorted; they may overlap."""
+    """(t1, t2, spans): for each class of equal texts, the repeated bytes as maximal runs (s, e)."""
     classes, _ = stored(docs.select("doc_id", *[c.alias(k) for k, c in _keys().items()], F.octet_length(_text()).alias("n")).groupBy("t1", "t2", "n").agg(F.count("*").alias("many"), F.min("doc_id").alias("doc_id")), "classes")
     found = [classes.where((F.col("many") > 1) & (F.col("n") >= length)).select("t1", "t2", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))]
     rows, _ = stored(seeds(docs, length, gram), "seeds")
@@ -215,7 +215,20 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
     every = found[0]
     for x in found[1:]:
         every = every.union(x)
-    return every.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    ordered = every.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
+    return ordered.withColumn("spans", runs(F.col("spans")))
+
+
+def runs(spans: Column) -> Column:
+    """Sorted spans as maximal runs."""
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def step(acc: Column, x: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
+        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), wider).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
+
+    return F.aggregate(spans, none, step)
 
 
 def cleaned(text: bytes, spans) -> tuple[bytes, int, int]:
@@ -238,7 +251,10 @@ def cleaned(text: bytes, spans) -> tuple[bytes, int, int]:
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row of docs."""
     marks, _ = stored(repeats(docs, length, gram, group), "marks")
-    rows = docs.select("doc_id", _text().alias("text")).withColumns(_keys()).join(small(marks, 5_000), ["t1", "t2"], "left").select("doc_id", "text", "spans")
+    # marks are broadcast if rows and runs are few (some 10 MB); else texts are shuffled to them
+    n_runs = marks.agg(F.sum(F.size("spans"))).first()[0] or 0
+    marks = small(marks, 200_000) if n_runs <= 600_000 else marks
+    rows = docs.select("doc_id", _text().alias("text")).withColumns(_keys()).join(marks, ["t1", "t2"], "left").select("doc_id", "text", "spans")
 
     def of(batch: pa.RecordBatch):
         for k in range(0, batch.num_rows, 256):
