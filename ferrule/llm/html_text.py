@@ -89,7 +89,7 @@ def parse(source: str) -> Element:
                 if name.lower() == "role":
                     drop |= value in ROLES
                 else:
-                    words = f"{words}.{value}" if name.lower() == "class" else words
+                    words += f".{value}" if name.lower() == "class" else "#" + re.sub(r"\d+", "", value)
                     drop |= not WORDS.isdisjoint(re.split(r"[\s_-]+", value))
         child = Element(tag, tag + words, drop, node)
         node.children.append(child)
