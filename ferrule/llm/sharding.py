@@ -130,12 +130,14 @@ def reshard(docs: DataFrame, shards: int, old: Column, path: str | None = None)
         filled[j] += b[4]
     touched = {x for (o, *_), j in zip(blocks, at, strict=True) if o != j for x in (o, j)}
     plan = spark.createDataFrame(placed, "__old int, __big boolean, __block long, shard int, __first long")
-    order = W.partitionBy(*key).orderBy("doc_id", "__crc")
-    whole = rows.join(F.broadcast(plan), key).withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).select(*own, F.col("__old").alias("old_shard"), "shard", "slot", F.col("__size").alias("size"))
+    # one shuffle of the texts: whole blocks go to the lanes of their shard, which clusters the window too
+    lanes = max(1, -(-max(sizes.values(), default=0) // shards // (256 << 20)))
+    order = W.partitionBy("shard", "__lane", *key).orderBy("doc_id", "__crc")
+    dealt = rows.join(F.broadcast(plan), key).withColumn("__lane", F.pmod("__block", F.lit(lanes))).repartition(max(shards * lanes, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "__lane")
+    whole = dealt.withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).select(*own, F.col("__old").alias("old_shard"), "shard", "slot", F.col("__size").alias("size"))
     affected = F.col("shard").isin(sorted(touched)) if touched else F.lit(False)
     path = path or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
-    lanes = max(1, -(-max(sizes.values(), default=0) // shards // (256 << 20)))
-    whole.where(affected).repartition(max(shards * lanes, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", F.pmod("slot", F.lit(lanes))).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    whole.where(affected).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     types = T.StructType([f for f in whole.schema if f.name != "shard"] + [whole.schema["shard"]])
     kept = spark.read.schema(types).parquet(path)
     return kept if len(touched) >= shards else kept.unionByName(whole.where(~affected))
