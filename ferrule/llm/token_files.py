@@ -5,8 +5,8 @@ list. Ids are dictionary-encoded, the other columns delta-encoded (writer versio
 pages are bounded and pages are indexed, so that metadata and single documents are read without the
 rest. Spark's own writer and reader are used: any shared store works, and lost tasks are done again.
 
-Texts are encoded piece by piece: the tokenizer never joins across a single space that stands between
-other characters, so pieces that were seen before come from a table of their ids.
+Texts are encoded word by word: the tokenizer never joins across a single space or line end that stands
+between other characters, so words that were seen before come from a table of their ids.
 
 Definitions for odd input: a null text is empty and has the end id only; rows of one doc_id follow
 each other; rows without doc_id come first. An empty table gives no rows. Other columns are ignored.
@@ -14,7 +14,6 @@ each other; rows without doc_id come first. An empty table gives no rows. Other
 
 from __future__ import annotations
 
-import re
 import uuid
 import zlib
 from functools import cache
@@ -31,75 +30,107 @@ from ferrule.llm.common import arrow_map, shared_dir, table
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 500
 #: Pieces whose ids a task remembers.
-SEEN_PIECES = 1_000_000
-_IRREGULAR = re.compile(r"\s | \s")
-_CUT = re.compile(r"(?<=\S)(?= \S)")
+SEEN_PIECES = 800_000
+_MARKS = ".,;:!?*$%&#"
 
 OPTIONS = {
-    "compression": "zstd", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS),
+    "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS),
     "parquet.enable.dictionary": "true", "parquet.enable.dictionary#doc_id": "false", "parquet.enable.dictionary#first": "false", "parquet.enable.dictionary#n_tokens": "false",
 }
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes."""
+    """Token ids of texts as little-endian 32-bit bytes.
+
+    A text is cut at single spaces and line ends between other characters, where the tokenizer never
+    joins. Keys of ``seen`` are words after a space as they are, words after a line end with it,
+    and first words with a tab before them."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.whole: dict[str, bytes] = {}
-        self.line_end = int(np.frombuffer(self._new(["\n"])[0], "<u4")[0])
-        self.after_space: dict[str, bytes] = {}
+        self.seen: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_end = self._new(["\n"])[0]
 
     def _new(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _together(self, words: list[str], prefix: str) -> list[bytes]:
-        """Ids of many words by one call: line ends between them are tokens of their own."""
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of many words after a space, by one call: line ends between them are tokens of their own."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([prefix + ("\n" + prefix).join(words)], add_special_tokens=False)[0].ids, "<u4")
-        cut = np.flatnonzero(ids == self.line_end)
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        cut = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0])
         if len(cut) != len(words) - 1:
-            return self._new([prefix + w for w in words])
+            return self._new([" " + w for w in words])
         data, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
 
-    def _learn(self, pieces, seen: dict[str, bytes], prefix: str) -> None:
-        fresh = [p for p in set(pieces) if p not in seen]
-        if len(seen) + len(fresh) > SEEN_PIECES:
+    def _learn(self, keys: set[str]) -> dict[str, bytes]:
+        seen, found = self.seen, {}
+        if len(seen) > SEEN_PIECES:
             seen.clear()
-            fresh = list(set(pieces))
-        # words without white space or marks of special tokens can be encoded together after a space
-        plain = [p for p in fresh if prefix and p.split() == [p] and "<" not in p]
-        seen.update(zip(plain, self._together(plain, prefix), strict=True))
-        other = [p for p in fresh if p not in seen]
-        seen.update(zip(other, self._new([prefix + p for p in other]), strict=True))
-
-    def prepare(self, texts: list[str]) -> None:
-        """Learn the new words of several texts by one call."""
-        new = {p for t in texts for p in t.split(" ")[1:] if p not in self.after_space}
-        if new:
-            self._learn(new, self.after_space, " ")
-
-    def encode(self, text: str) -> bytes:
-        if _IRREGULAR.search(text):
-            pieces = _CUT.split(text)
-            try:
-                return b"".join([self.whole[p] for p in pieces])
-            except KeyError:
-                self._learn(pieces, self.whole, "")
-                return b"".join([self.whole[p] for p in pieces])
-        first, *rest = text.split(" ")
-        if first not in self.whole:
-            self._learn([first], self.whole, "")
-        head = self.whole[first]
-        try:
-            return head + b"".join([self.after_space[p] for p in rest])
-        except KeyError:
-            self._learn(rest, self.after_space, " ")
-            return head + b"".join([self.after_space[p] for p in rest])
+        plain, first, marked = set(), [], []
+        for k in keys:
+            word = k.rstrip(_MARKS)  # marks after a letter or digit are tokens of their own
+            if word.isalnum():
+                if word == k:
+                    plain.add(k)
+                else:
+                    marked.append((k, word, k[len(word) :]))
+                    if word not in seen:
+                        plain.add(word)
+            elif not k or k[0] in "\n\t" or "<" in k or k.split() != [k]:
+                first.append(k)
+            else:
+                plain.add(k)
+        order = list(plain)
+        found.update(zip(order, self._spaced(order), strict=True))
+        bare = self._new([k[1:] if k[:1] in ("\n", "\t") else " " + k for k in first])
+        found.update((k, (self.line_end if k[:1] == "\n" else b"") + v) for k, v in zip(first, bare, strict=True))
+        known = {word for _, word, _ in marked if word in seen}
+        seen.update(found)
+        for k, word, mark in marked:
+            if mark not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[mark] = self._new([mark])[0]
+            found[k] = seen[word] + self.marks[mark]
+            if word in known:  # words with a mark are remembered once the word has come before
+                seen[k] = found[k]
+        return found
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        out: list = []
+        missing: set[str] = set()
+        held, get = [], self.seen.get
+        for i, text in enumerate(texts):
+            keys = text.split()
+            lines = "\n" in text
+            if " ".join(keys) != (text.replace("\n", " ") if lines else text):  # white space of other kinds
+                out.append(self._new([text])[0])
+                continue
+            if lines:
+                keys = text.replace("\n", " \n").split(" ")
+            if keys:
+                keys[0] = "\t" + keys[0]
+            values = list(map(get, keys))
+            gaps, at = [], -1
+            for _ in range(values.count(None)):
+                at = values.index(None, at + 1)
+                gaps.append(at)
+            if gaps:
+                held.append((i, keys, values, gaps))
+                missing.update([keys[at] for at in gaps])
+            out.append(b"" if gaps else b"".join(values))
+        found = self._learn(missing) if missing else {}
+        for i, keys, values, gaps in held:
+            for at in gaps:
+                values[at] = found[keys[at]]
+            out[i] = b"".join(values)
+        return out
 
 
 @cache
@@ -121,8 +152,7 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 texts = batch.column(1).slice(a, 256).to_pylist()
-                enc.prepare([t for t in texts if t])
-                ids = [enc.encode(t or "") + end for t in texts]
+                ids = [x + end for x in enc.encode_many([t or "" for t in texts])]
                 lengths = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = first + np.cumsum(lengths)
                 values = np.frombuffer(b"".join(ids), "<i4")
