@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ferrule import terms as T
 from ferrule.lang.parser import parse_graph, tokenize
 
-LOG = "https://eyereasoner.github.io/eyeling/vocab/message#"  # fixed value: the vocabulary of logs
+#: Vocabulary of envelopes, unless another is asked for.
+LOG = "urn:message-log:vocabulary#"
 NAME_OF = "<http://www.w3.org/2000/10/swap/log#nameOf>"
 
 
@@ -41,11 +42,11 @@ def fnv(text: str) -> str:
     return f"{h:08x}"
 
 
-def replay(source: str, base: str = "", include_facts: bool = False) -> list[tuple[str, str, str]]:
+def replay(source: str, base: str = "", include_facts: bool = False, vocabulary: str = LOG) -> list[tuple[str, str, str]]:
     """Triples of the stream, its envelopes and payloads."""
     shared, bodies = split_log(source)
     stream = T.iri(f"urn:message-log:{fnv(source)}")
-    v = lambda x: T.iri(LOG + x)
+    v = lambda x: T.iri(vocabulary + x)
     envelopes = [T.iri(f"{stream[1:-1]}#envelope-{k + 1:03d}") for k in range(len(bodies))]
     out = [(stream, T.TYPE, v("Stream")), (stream, v("messageCount"), T.number(len(bodies)))]
 

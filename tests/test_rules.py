@@ -96,7 +96,7 @@ def test_messages():
     log = 'VERSION "1.2-messages"\nPREFIX : <http://t/>\n_:r :v 1 .\nMESSAGE\nMESSAGE\n_:r :v 2 .'
     assert looks_like_log(log)
     found = replay(log)
-    assert sum(p.endswith("message#envelope>") for _, p, _ in found) == 3 and sum("empty" in o for _, _, o in found) == 1
+    assert sum(p.endswith("vocabulary#envelope>") for _, p, _ in found) == 3 and sum("empty" in o for _, _, o in found) == 1
 
 
 def test_entailment(spark):
