@@ -20,6 +20,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,16 @@ from ferrule.llm.common import arrow_map, shared_dir, table
 
 ROW_GROUP_BYTES = 32 << 20
 PAGE_ROWS = 500
-#: Pieces whose ids a task remembers.
-SEEN_PIECES = 800_000
+#: Pieces whose ids a task remembers; as many older ones are kept beside them.
+SEEN_PIECES = 250_000
 _MARKS = ".,;:!?*$%&#"
+#: Texts with white space at an end, twice in a row, or of another kind than space and line end.
+_ODD = r"\A[ \n]|[ \n]\z|[ \n]{2}|[\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: A word of letters and digits, and what comes before the marks at its end.
+_STEM = r"\A[\t\n]?[\p{L}\p{N}]+\z"
+_UNMARKED = r"\A[\t\n]?[\p{L}\p{N}]+"
+#: Text of a chunk that is encoded at once.
+CHUNK_BYTES = 4 << 20
 
 OPTIONS = {
     "compression": "zstd", "parquet.compression.codec.zstd.level": "1", "parquet.writer.version": "PARQUET_2_0", "parquet.block.size": str(ROW_GROUP_BYTES), "parquet.page.row.count.limit": str(PAGE_ROWS),
@@ -39,97 +47,108 @@ OPTIONS = {
 }
 
 
+def _gather(ids: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ids, whose sizes are given, in the order of codes, and where each ends."""
+    length = sizes[codes]
+    ends = np.cumsum(length)
+    first = (np.cumsum(sizes) - sizes)[codes] - (ends - length)
+    return ids[np.repeat(first, length) + np.arange(ends[-1] if len(ends) else 0)], ends
+
+
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes.
+    """Token ids of texts.
 
     A text is cut at single spaces and line ends between other characters, where the tokenizer never
-    joins. Keys of ``seen`` are words after a space as they are, words after a line end with it,
-    and first words with a tab before them."""
+    joins, and before marks at the end of a word of letters and digits. Keys of the words seen are
+    words after a space as they are, words after a line end with it, first words with a tab before
+    them, and marks with two."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.seen: dict[str, bytes] = {}
-        self.marks: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line_end = self._new(["\n"])[0]
 
     def _new(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of many words after a space, by one call: line ends between them are tokens of their own."""
+    def _joined(self, words: list[str], before: str) -> list[bytes]:
+        """Ids of many words after a space or nothing, by one call: line ends between them are tokens of their own."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + "\n ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        texts = [before + ("\n" + before).join(words[i : i + 2000]) + "\n" for i in range(0, len(words), 2000)]
+        ids = np.concatenate([np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
         cut = np.flatnonzero(ids == np.frombuffer(self.line_end, "<u4")[0])
-        if len(cut) != len(words) - 1:
-            return self._new([" " + w for w in words])
-        data, ends = ids.tobytes(), [*(4 * cut).tolist(), 4 * len(ids)]
+        if len(cut) != len(words):
+            return self._new([before + w for w in words])
+        data, ends = ids.tobytes(), (4 * cut).tolist()
         return [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
 
-    def _learn(self, keys: set[str]) -> dict[str, bytes]:
-        seen, found = self.seen, {}
-        if len(seen) > SEEN_PIECES:
-            seen.clear()
-        plain, first, marked = set(), [], []
-        for k in keys:
-            word = k.rstrip(_MARKS)  # marks after a letter or digit are tokens of their own
-            if word.isalnum():
-                if word == k:
-                    plain.add(k)
-                else:
-                    marked.append((k, word, k[len(word) :]))
-                    if word not in seen:
-                        plain.add(word)
-            elif not k or k[0] in "\n\t" or "<" in k or k.split() != [k]:
-                first.append(k)
+    def _learn(self, keys: list[str]) -> None:
+        if len(self.seen) > SEEN_PIECES:
+            self.seen, self.older = {}, self.seen
+        odd = [k for k in keys if "<" in k or k in ("", "\t", "\n")]
+        known = set(odd)
+        spaced = [k for k in keys if k[:1] not in ("\t", "\n") and k not in known]
+        bare = [k for k in keys if k[:1] in ("\t", "\n") and k not in known]
+        self.seen.update(zip(spaced, self._joined(spaced, " "), strict=True))
+        ids = self._joined([k.lstrip("\t\n") for k in bare], "") + self._new([k.lstrip("\t\n") if k[:1] in ("\t", "\n") else " " + k for k in odd])
+        self.seen.update((k, self.line_end + v if k[:1] == "\n" else v) for k, v in zip(bare + odd, ids, strict=True))
+
+    def _of_keys(self, keys: list[str]) -> list[bytes]:
+        values = list(map(self.seen.get, keys))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        missing = [keys[i] for i in gaps]
+        older = list(map(self.older.get, missing))
+        self._learn([k for k, v in zip(missing, older, strict=True) if v is None])
+        for i, k, v in zip(gaps, missing, older, strict=True):
+            if v is None:
+                v = self.seen[k]
             else:
-                plain.add(k)
-        order = list(plain)
-        found.update(zip(order, self._spaced(order), strict=True))
-        bare = self._new([k[1:] if k[:1] in ("\n", "\t") else " " + k for k in first])
-        found.update((k, (self.line_end if k[:1] == "\n" else b"") + v) for k, v in zip(first, bare, strict=True))
-        known = {word for _, word, _ in marked if word in seen}
-        seen.update(found)
-        for k, word, mark in marked:
-            if mark not in self.marks:
-                if len(self.marks) > 10_000:
-                    self.marks.clear()
-                self.marks[mark] = self._new([mark])[0]
-            found[k] = seen[word] + self.marks[mark]
-            if word in known:  # words with a mark are remembered once the word has come before
-                seen[k] = found[k]
-        return found
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        out: list = []
-        missing: set[str] = set()
-        held, get = [], self.seen.get
-        for i, text in enumerate(texts):
-            keys = text.split()
-            lines = "\n" in text
-            if " ".join(keys) != (text.replace("\n", " ") if lines else text):  # white space of other kinds
-                out.append(self._new([text])[0])
-                continue
-            if lines:
-                keys = text.replace("\n", " \n").split(" ")
-            if keys:
-                keys[0] = "\t" + keys[0]
-            values = list(map(get, keys))
-            gaps, at = [], -1
-            for _ in range(values.count(None)):
-                at = values.index(None, at + 1)
-                gaps.append(at)
-            if gaps:
-                held.append((i, keys, values, gaps))
-                missing.update([keys[at] for at in gaps])
-            out.append(b"" if gaps else b"".join(values))
-        found = self._learn(missing) if missing else {}
-        for i, keys, values, gaps in held:
-            for at in gaps:
-                values[at] = found[keys[at]]
-            out[i] = b"".join(values)
+                self.seen[k] = v
+            values[i] = v
+        return values
+
+    def _regular(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts whose white space is single spaces and line ends, and where each text ends.
+
+        Words are told apart by a dictionary of the whole chunk, and their stems and marks by another,
+        so each is looked up once."""
+        keyed = pc.binary_join_element_wise("\t", pc.replace_substring(texts, "\n", " \n"), "")
+        words = pc.split_pattern(keyed, " ")
+        coded = words.flatten().dictionary_encode()
+        whole = coded.dictionary
+        stems = pc.ascii_rtrim(whole, _MARKS)
+        cut = pc.and_(pc.match_substring_regex(stems, _STEM), pc.not_equal(stems, whole))
+        marks = pc.replace_substring_regex(whole.filter(cut), _UNMARKED, "\t\t")
+        pieces = pa.concat_arrays([pc.if_else(cut, stems, whole), marks]).dictionary_encode()
+        values = self._of_keys(pieces.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        codes, marked = pieces.indices.to_numpy(), cut.to_numpy(zero_copy_only=False)
+        count = 1 + marked
+        at = np.cumsum(count) - count
+        order = np.empty(len(codes), np.int64)
+        order[at] = codes[: len(whole)]
+        order[at[marked] + 1] = codes[len(whole) :]
+        ids, ends = _gather(np.frombuffer(b"".join(values), "<u4"), sizes, order)
+        ends = ends[at + marked]
+        ids, ends = _gather(ids, np.diff(ends, prepend=0), coded.indices.to_numpy())
+        return ids, np.concatenate([[0], ends])[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
+
+    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+        """Ids of each text of a chunk without nulls."""
+        out: list = [None] * len(texts)
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
+        plain, other = np.flatnonzero(~odd).tolist(), np.flatnonzero(odd).tolist()
+        if plain:
+            ids, ends = self._regular(texts.take(pa.array(plain)) if other else texts)
+            for i, a, b in zip(plain, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                out[i] = ids[a:b]
+        if other:
+            for i, v in zip(other, self._new(texts.take(pa.array(other)).to_pylist()), strict=True):
+                out[i] = np.frombuffer(v, "<u4")
         return out
 
 
@@ -147,18 +166,21 @@ def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches):
-        part, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        part, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")
         enc = encoder(vocabulary)
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                texts = batch.column(1).slice(a, 256).to_pylist()
-                ids = [x + end for x in enc.encode_many([t or "" for t in texts])]
-                lengths = np.array([len(x) // 4 for x in ids], np.int64)
+            texts = pc.fill_null(batch.column(1), "")
+            sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+            a = 0
+            while a < len(texts):
+                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHUNK_BYTES, "right")))
+                ids = [part_ids for x in enc.encode_many(texts.slice(a, b - a)) for part_ids in (x, end)]
+                lengths = np.array([len(x) + 1 for x in ids[::2]], np.int64)
                 ends = first + np.cumsum(lengths)
-                values = np.frombuffer(b"".join(ids), "<i4")
+                values = np.concatenate(ids).view("<i4")
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 256), pa.array(np.full(len(ids), part, np.int32)), pa.array(ends - lengths), pa.array(lengths), lists], names=["doc_id", "part", "first", "n_tokens", "tokens"])
-                first = int(ends[-1])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(ends - lengths), pa.array(lengths), lists], names=["doc_id", "part", "first", "n_tokens", "tokens"])
+                first, a = int(ends[-1]), b
 
     ordered.mapInArrow(encode, "doc_id long, part int, first long, n_tokens long, tokens array<int>").write.options(**OPTIONS).parquet(path)
 
