@@ -21,6 +21,7 @@ from ferrule import terms as T
 class V:
     kind: str
     col: Column
+    nested: bool = False
 
 
 @dataclass
@@ -178,8 +179,18 @@ def _plus(a: V, b: V) -> V:
         return V("num", F.try_add(a.col, b.col))
     if "term" not in (a.kind, b.kind):
         return V("str", F.concat(as_str(a), as_str(b)))
+    return V("term", _once(a, lambda x: _once(b, lambda y: _sum_or_text(x, y))))
+
+
+def _sum_or_text(a: V, b: V) -> Column:
     number, text = V("num", F.try_add(as_num(a), as_num(b))), V("str", F.concat(as_str(a), as_str(b)))
-    return V("term", F.when(is_num(a) & is_num(b), as_term(number)).otherwise(as_term(text)))
+    return F.when(is_num(a) & is_num(b), as_term(number)).otherwise(as_term(text))
+
+
+def _once(v: V, body: Callable[[V], Column]) -> Column:
+    """body of a value that body uses several times: a term is computed once, so that nested sums stay
+    as long as they are written."""
+    return F.transform(F.array(v.col), lambda x: body(V(v.kind, x)))[0] if v.kind == "term" and v.nested else body(v)
 
 
 def _divide(a: V, b: V) -> V:
@@ -386,6 +397,7 @@ def compile_expression(e: tuple, env: dict[str, V], ctx: Context) -> V:
     if op in ("<", "<=", ">", ">="):
         return V("bool", _order(op, a, b))
     if op == "+":
+        a, b = (V(v.kind, v.col, x[0] not in ("var", "term")) for v, x in zip((a, b), e[1:], strict=True))
         return _plus(a, b)
     if op == "/":
         return _divide(a, b)

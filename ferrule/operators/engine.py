@@ -103,11 +103,15 @@ def resolve_imports(program: Program, resolver: Callable[[str], str] | None, see
     return merged
 
 
-def parse_any(source: str, base: str = "", strict: bool = False) -> Program:
+def parse_any(source: str, base: str = "", strict: bool = False, syntax: str = "auto", ruleset: str | None = None, include_facts: bool = False) -> Program:
+    """A program from rule text ("srl"), its RDF encoding ("rdf") or a message log ("messages")."""
+    from ferrule.lang.rdf_rules import looks_like_rules, parse_rules
     from ferrule.streaming.messages import looks_like_log, replay
 
-    if looks_like_log(source):
-        return Program(base, data=replay(source, base))
+    if syntax == "messages" or (syntax == "auto" and looks_like_log(source)):
+        return Program(base, data=replay(source, base, include_facts))
+    if syntax == "rdf" or (syntax == "auto" and looks_like_rules(source)):
+        return parse_rules(source, base, ruleset)
     return parse(source, base, strict)
 
 
