@@ -137,8 +137,9 @@ class Encoder:
         ids, ends = _gather(ids, np.diff(ends, prepend=0), coded.indices.to_numpy())
         return ids, np.concatenate([[0], ends])[words.offsets.to_numpy()[1:] - words.offsets[0].as_py()]
 
-    def encode_many(self, texts: pa.Array) -> list[np.ndarray]:
+    def encode_many(self, texts: pa.Array | list[str]) -> list[np.ndarray]:
         """Ids of each text of a chunk without nulls."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
         out: list = [None] * len(texts)
         odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False)
         plain, other = np.flatnonzero(~odd).tolist(), np.flatnonzero(odd).tolist()
