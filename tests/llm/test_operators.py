@@ -235,3 +235,17 @@ def brute_removed(docs, length):
 def test_suffix_dedup(spark, frame, corpus, group):
     got = {r.doc_id: (r.n_bytes, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in suffix_dedup.dedup(frame, 60, 12, group).collect()}
     assert got == brute_removed(corpus, 60)
+
+
+def test_passages_of_repeats_and_frequent_parts(spark):
+    rnd = random.Random(7)
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    lines = [text(20) for _ in range(3)]
+    docs = [(k, text(30) + " " + lines[k % 3] + " " + text(30)) for k in range(60)]
+    docs += [(100 + k, text(70) + " " + " ".join(lines) + " " + text(70)) for k in range(2)]
+    repeats = {200: ["la"] * 60, 300: ["a b c d e f g h i j k l"] * 5}
+    docs += [(i + k, text(40 + 10 * k) + " " + " ".join(r) + " " + text(30)) for i, r in repeats.items() for k in range(2)]
+    got = chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in got} == {(101, 100), (201, 200), (301, 300)}
+    assert all(r.n_equal >= 60 for r in got)
