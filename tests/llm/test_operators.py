@@ -237,6 +237,13 @@ def test_suffix_dedup(spark, frame, corpus, group):
     assert got == brute_removed(corpus, 60)
 
 
+def _fuzzy(rnd, passage, share, fresh):
+    w = passage.split()
+    for k in rnd.sample(range(len(w)), round(len(w) * share)):
+        w[k] = next(fresh)
+    return " ".join(w)
+
+
 def test_passages_of_repeats_and_frequent_parts(spark):
     rnd = random.Random(7)
     fresh = (f"w{k}" for k in range(10**9))
@@ -249,3 +256,18 @@ def test_passages_of_repeats_and_frequent_parts(spark):
     got = chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.ref_doc_id) for r in got} == {(101, 100), (201, 200), (301, 300)}
     assert all(r.n_equal >= 60 for r in got)
+
+
+def test_passages_recall_of_fuzzy(spark):
+    rnd = random.Random(8)
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    docs = []
+    for n in (60, 80, 120, 200):
+        for share in (0.05, 0.08, 0.12, 0.16, 0.17):
+            for _ in range(20):
+                p = text(n)
+                docs += [(len(docs), text(50) + " " + p + " " + text(50)), (len(docs) + 1, text(20) + " " + _fuzzy(rnd, p, share, fresh) + " " + text(50))]
+    pairs = {(r.doc_id, r.ref_doc_id) for r in chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert pairs <= {(k + 1, k) for k in range(0, len(docs), 2)}
+    assert len(pairs) >= 0.95 * len(docs) / 2
