@@ -1,10 +1,10 @@
 """HTML extraction by wrapper induction.
 
 The DOM trees of the pages of a host are aligned by simple tree matching and merged into one tree,
-the wrapper: a node whose text is the same on all its pages is template, a node whose text
-varies is a slot. A page's text is that of the slots in its article, without the zones that are never
-content (menus, forms, comments and so on, by element and class); pages without an article element give
-all their slots. Inside an article sameness alone drops nothing: copies of one article are content.
+the wrapper: a node whose text is the same on all its pages, with three articles or more among them, is template,
+any other is a slot. A page's text is that of its slots, in its article or not. Pages whose articles have the same
+longest block are copies of one article, and count once; of pages without an article element those of equal text.
+Zones that are never content although they vary (menus, forms, comments and so on, by element and class) are left out.
 
 Wrappers are merged inside tasks, then by (host, lane), then by host, so a host with a third of all
 pages is never gathered; runs of equal siblings are one node, which keeps trees small.
@@ -102,20 +102,52 @@ def parse(source: str) -> Element:
     return root
 
 
-def skeleton(node: Element) -> list:
-    """[label, hash of the own text, pages, children] with runs of equal siblings as one varying node."""
-    own = zlib.crc32(_SPACE.sub(" ", "".join(x if isinstance(x, str) else _inline(x) for x in node.children if isinstance(x, str) or x.tag in INLINE)).strip().encode("utf-8", "replace"))
+#: Articles that must have a text for it to be template.
+LEAST_ARTICLES = 3
+
+
+def _own(node: Element) -> str:
+    return _SPACE.sub(" ", "".join(x if isinstance(x, str) else _inline(x) for x in node.children if isinstance(x, str) or x.tag in INLINE)).strip()
+
+
+def _hash(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "replace"))
+
+
+def _is_article(node: Element) -> bool:
+    return node.tag in ("article", "main") or ".article" in node.label
+
+
+def article_of(root: Element) -> int:
+    """A hash that copies of one article share: of its longest block; without an article element, of all texts."""
+    every, inside = [], []
+
+    def look(node: Element, within: bool) -> None:
+        within = within or _is_article(node)
+        text = _own(node)
+        (inside if within else every).append(text)
+        for x in node.children:
+            if not isinstance(x, str) and not x.drop and x.tag not in INLINE:
+                look(x, within)
+
+    look(root, False)
+    longest = max(inside, key=lambda x: (len(x), x), default="")
+    return _hash(longest or "\n".join(every))
+
+
+def skeleton(node: Element, article: int) -> list:
+    """[label, hashes of own texts that all pages have, articles (the smallest few), children] with runs of equal siblings as one varying node."""
     children: list = []
     for x in node.children:
         if isinstance(x, str) or x.tag in INLINE or x.drop:
             continue
-        s = skeleton(x)
+        s = skeleton(x, article)
         if children and children[-1][0] == s[0]:
             children[-1] = merge(children[-1], s)
-            children[-1][1], children[-1][2] = None, 1
+            children[-1][1] = []
         else:
             children.append(s)
-    return [node.label, own, 1, children]
+    return [node.label, [_hash(_own(node))], [article], children]
 
 
 def _inline(node: Element) -> str:
@@ -155,7 +187,7 @@ def merge(a: list, b: list) -> list:
         if i < len(a[3]):
             children.append(merge(a[3][i], b[3][j]))
         i0, j0 = i + 1, j + 1
-    return [a[0], a[1] if a[1] == b[1] else None, a[2] + b[2], children]
+    return [a[0], [x for x in a[1] if x in b[1]], sorted({*a[2], *b[2]})[:LEAST_ARTICLES], children]
 
 
 def _host(url: str | None) -> str:
@@ -171,7 +203,8 @@ def wrappers(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[str, list] = {}
             for url, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                host, tree = _host(url), skeleton(parse(source or ""))
+                root = parse(source or "")
+                host, tree = _host(url), skeleton(root, article_of(root))
                 found[host] = merge(found[host], tree) if host in found else tree
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([lane] * len(found), pa.int32()), pa.array([json.dumps(x) for x in found.values()], pa.string())], names=["host", "lane", "wrapper"])
 
@@ -189,17 +222,6 @@ def wrappers(pages: DataFrame) -> DataFrame:
 
 def extract(source: str, wrapper: list | None) -> str:
     root = parse(source)
-    has_article = [False]
-
-    def look(node: Element) -> None:
-        for x in node.children:
-            if not isinstance(x, str) and not x.drop:
-                if x.tag in ("article", "main") or ".article" in x.label:
-                    has_article[0] = True
-                elif not has_article[0]:
-                    look(x)
-
-    look(root)
     blocks: list[str] = []
     buffer: list[str] = []
 
@@ -209,10 +231,9 @@ def extract(source: str, wrapper: list | None) -> str:
             blocks.append(text)
         buffer.clear()
 
-    def walk(node: Element, slot: list | None, inside: bool) -> None:
-        inside = inside or node.tag in ("article", "main") or ".article" in node.label
-        # template: the same own text on all of several pages of the host
-        shown = inside or (not has_article[0] and not (slot is not None and slot[1] is not None and slot[2] >= 3))
+    def walk(node: Element, slot: list | None) -> None:
+        # template: an own text that all of several articles of the host have here
+        shown = slot is None or len(slot[2]) < LEAST_ARTICLES or _hash(_own(node)) not in slot[1]
         slots = slot[3] if slot is not None else []
         at = 0
         for x in node.children:
@@ -225,15 +246,15 @@ def extract(source: str, wrapper: list | None) -> str:
                 if x.tag == "br":
                     buffer.append(" ")
                 elif shown:
-                    walk(x, None, inside)
+                    walk(x, None)
             else:
                 flush()
                 here = next((k for k in range(max(at - 1, 0), len(slots)) if slots[k][0] == x.label), None)
                 at = at if here is None else here + 1
-                walk(x, None if here is None else slots[here], inside)
+                walk(x, None if here is None else slots[here])
                 flush()
 
-    walk(root, wrapper, False)
+    walk(root, wrapper)
     flush()
     return "\n".join(blocks)
 

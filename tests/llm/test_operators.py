@@ -271,3 +271,12 @@ def test_passages_recall_of_fuzzy(spark):
     pairs = {(r.doc_id, r.ref_doc_id) for r in chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert pairs <= {(k + 1, k) for k in range(0, len(docs), 2)}
     assert len(pairs) >= 0.95 * len(docs) / 2
+
+
+def test_html_wrapper_decides_on_articles(spark):
+    page = lambda k, own: (k, f"http://w.example/{k}", f"<body><section>Edition {own}</section><article><h2>Read more of our journal every day of the week here</h2><h1>T {own}</h1><p>{f'text {own} ' * 9}</p></article></body>")
+    copies = [(100 + k, f"http://c.example/{k}", f"<body><div>{k}</div><article><h1>One title</h1><p>{'one text ' * 9}</p></article></body>") for k in range(5)]
+    df = spark.createDataFrame([*[page(k, k) for k in range(4)], *copies], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract_texts(df).collect()}
+    assert got[2] == "Edition 2\nT 2\n" + ("text 2 " * 9).strip()
+    assert got[103] == "3\nOne title\n" + ("one text " * 9).strip()
