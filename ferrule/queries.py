@@ -105,6 +105,7 @@ _add("dominated_min", _derived(("part",), "RULE { ?p :dominated ?b } WHERE { ?p
      "SELECT DISTINCT p_brand AS brand, p_partkey AS part FROM part p WHERE NOT EXISTS (SELECT 1 FROM part q WHERE q.p_brand = p.p_brand AND q.p_retailprice < p.p_retailprice)")
 _add("multi_head", _answers(("supplier",), "RULE { ?s :kind :Supplier . ?s :at ?n } WHERE { ?s :s_nationkey ?n }", "?s :at ?n ; :kind :Supplier"), "SELECT DISTINCT s_suppkey AS s, s_nationkey AS n FROM supplier")
 _add("query_projection", _answers(("orders",), "", "?o :o_orderpriority ?p ; :o_orderstatus ?st . FILTER(?o < 200)"), "SELECT DISTINCT o_orderkey AS o, o_orderpriority AS p, o_orderstatus AS st FROM orders WHERE o_orderkey < 200")
+_add("query_projection_all", _answers(("orders",), "", "?o :o_orderpriority ?p ; :o_orderstatus ?st"), "SELECT DISTINCT o_orderkey AS o, o_orderpriority AS p, o_orderstatus AS st FROM orders")
 _add("demand_slice", _answers(("customer",), _TREE + "RULE { ?x :above ?z } WHERE { ?x :parent ?z } RULE { ?x :above ?z } WHERE { ?x :above ?y . ?y :parent ?z } RULE { ?x :unused ?y } WHERE { ?x :c_nationkey ?y }", "?x :above ?y . FILTER(?x = 77)"),
      "WITH RECURSIVE e AS (SELECT c_custkey AS s, c_custkey // 2 AS o FROM customer WHERE c_custkey > 1), t AS (SELECT s, o FROM e WHERE s = 77 UNION SELECT t.s, e.o FROM t JOIN e ON e.s = t.o) SELECT s AS x, o AS y FROM t")
 

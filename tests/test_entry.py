@@ -19,3 +19,9 @@ def test_same_rows_as_sql(spark, name):
     names = sorted(got.columns)
     want = con.sql(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({ORACLE_SQL[name]})").fetchall()
     assert rows(tuple(r) for r in got.select(*names).collect()) == rows(want)
+
+
+def test_projection_covers_all_orders(spark):
+    n = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey").distinct().count()
+    assert QUERIES["query_projection_all"](spark, SF).select("o").distinct().count() == n > 200
+    test_same_rows_as_sql(spark, "query_projection_all")
