@@ -7,7 +7,7 @@ longest block are copies of one article, and count once; of pages without an art
 Zones that are never content although they vary (menus, forms, comments and so on, by element and class) are left out.
 
 Wrappers are merged inside tasks, then by (host, lane), then by host, so a host with a third of all
-pages is never gathered; runs of equal siblings are one node, which keeps trees small.
+pages is never gathered; runs of equal siblings are one node with the texts of all, which keeps trees small.
 
 Definitions for odd input: null and empty pages have an empty text; a page without host has none to
 share with and is matched with pages of the empty host; unclosed and cut elements end with their parent,
@@ -136,15 +136,14 @@ def article_of(root: Element) -> int:
 
 
 def skeleton(node: Element, article: int) -> list:
-    """[label, hashes of own texts that all pages have, articles (the smallest few), children] with runs of equal siblings as one varying node."""
+    """[label, hashes of own texts that all pages have, articles (the smallest few), children] with runs of equal siblings as one node that has the hashes of all."""
     children: list = []
     for x in node.children:
         if isinstance(x, str) or x.tag in INLINE or x.drop:
             continue
         s = skeleton(x, article)
         if children and children[-1][0] == s[0]:
-            children[-1] = merge(children[-1], s)
-            children[-1][1] = []
+            children[-1] = merge(children[-1], s, True)
         else:
             children.append(s)
     return [node.label, [_hash(_own(node))], [article], children]
@@ -179,15 +178,16 @@ def matched(a: list, b: list) -> int:
     return 1 + sum(matched(a[3][i], b[3][j]) for i, j in align(a[3], b[3]))
 
 
-def merge(a: list, b: list) -> list:
-    """The wrapper of two wrappers with equal labels."""
+def merge(a: list, b: list, siblings: bool = False) -> list:
+    """The wrapper of two wrappers with equal labels, or one node of two siblings of a page."""
     children, i0, j0 = [], 0, 0
     for i, j in [*align(a[3], b[3]), (len(a[3]), len(b[3]))]:
         children += a[3][i0:i] + b[3][j0:j]
         if i < len(a[3]):
-            children.append(merge(a[3][i], b[3][j]))
+            children.append(merge(a[3][i], b[3][j], siblings))
         i0, j0 = i + 1, j + 1
-    return [a[0], [x for x in a[1] if x in b[1]], sorted({*a[2], *b[2]})[:LEAST_ARTICLES], children]
+    own = sorted({*a[1], *b[1]}) if siblings else sorted({*a[1]} & {*b[1]})
+    return [a[0], own, sorted({*a[2], *b[2]})[:LEAST_ARTICLES], children]
 
 
 def _host(url: str | None) -> str:

@@ -280,3 +280,9 @@ def test_html_wrapper_decides_on_articles(spark):
     got = {r.page_id: r.text for r in html_text.extract_texts(df).collect()}
     assert got[2] == "Edition 2\nT 2\n" + ("text 2 " * 9).strip()
     assert got[103] == "3\nOne title\n" + ("one text " * 9).strip()
+
+
+def test_html_template_among_equal_siblings(spark):
+    page = lambda k: (k, f"http://s.example/{k}", f"<body><div>Same banner</div><div>own {k}</div><p>Notice one</p><p>text {k}</p><p>Notice two</p><ul><li><i>fixed</i></li><li>item {k}</li></ul></body>")
+    got = {r.page_id: r.text for r in html_text.extract_texts(spark.createDataFrame([page(k) for k in range(5)], "page_id long, url string, html string")).collect()}
+    assert got[3] == "own 3\ntext 3\nitem 3"
