@@ -286,3 +286,14 @@ def test_html_template_among_equal_siblings(spark):
     page = lambda k: (k, f"http://s.example/{k}", f"<body><div>Same banner</div><div>own {k}</div><p>Notice one</p><p>text {k}</p><p>Notice two</p><ul><li><i>fixed</i></li><li>item {k}</li></ul></body>")
     got = {r.page_id: r.text for r in html_text.extract_texts(spark.createDataFrame([page(k) for k in range(5)], "page_id long, url string, html string")).collect()}
     assert got[3] == "own 3\ntext 3\nitem 3"
+
+
+def test_passages_extend_beyond_slices(spark):
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    gaps = lambda t: " ".join(x if k % 4 else next(fresh) for k, x in enumerate(t.split()))
+    left, core, right = text(200), text(200), text(200)  # no seed in the sides, that agree beyond 100 words
+    docs = [(0, f"{text(30)} {left} {core} {right} {text(30)}"), (1, f"{text(10)} {gaps(left)} {core} {gaps(right)} {text(9)}"), (2, core)]
+    got = {(r.doc_id, r.ref_doc_id): r for r in chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[1, 0][c] for c in ("start", "end", "ref_start", "ref_end", "n_equal")] == [11, 610, 31, 630, 500]
+    assert got[2, 0].n_equal == got[2, 1].n_equal == 200
