@@ -2,14 +2,16 @@
 
 Folders: everything an operator stores between stages goes to the folder named in
 ``spark.checkpoint.dir`` (shared by driver and executors). Only where that setting is
-missing, as in unit tests, a temporary folder of this process is used.
+missing and Spark runs in this process alone, as in unit tests, a temporary folder is used.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +24,7 @@ SPACES = "[\\x20\\x09-\\x0D]+"
 #: Rows up to which a side with narrow rows (a few dozen bytes) is broadcast after counting it.
 BROADCAST_ROWS = 500_000
 
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: list[str] = []
 
 
@@ -33,17 +36,31 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="llm-shared-"))
     return _own[0]
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the jobs inside are removed when each ends: what they give is a file or a count."""
+    before = spark.conf.get(_FREED, None)
+    spark.conf.set(_FREED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_FREED) if before is None else spark.conf.set(_FREED, before)
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage and
     survives lost executors. Returns the table and its path, for ``drop_path``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 

@@ -26,13 +26,16 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ferrule.llm.common import arrow_map, drop_path, mix, prefix_sums, range_hash, small, stored, table, text_chunks
+from ferrule.llm.common import arrow_map, drop_path, mix, prefix_sums, range_hash, stored, table, text_chunks
 
 LENGTH = 400
 GRAM = 32
 #: Different segments of a seed that one task sorts; seeds with more are cut further.
 GROUP = 8192
+#: Classes of texts up to which those to open are picked by a broadcast of their keys (32 bytes each).
+OPENED = 200_000
 _AT = 28  # bits of the position in a window's smallest key
 
 
@@ -60,7 +63,7 @@ def seeds_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     relative to the document), hash of the gram and hash of the segment."""
     sums = prefix_sums(data)
     if len(data) < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(6))
+        return tuple(np.zeros(0, k) for k in [np.int64] * 4 + [np.uint64] * 2)
     at = np.arange(len(data) - gram + 1)
     grams = range_hash(sums, at, at + gram)
     smallest = window_minima((grams >> np.uint64(_AT) << np.uint64(_AT)) | at.astype(np.uint64), length - gram + 1)
@@ -76,21 +79,51 @@ def seeds_of(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return doc, seed - base, a - base, b - base, grams[seed], segment
 
 
-ROW = "t1 long, t2 long, m int, a int, b int, lo int, hi int, key long, segment long"
+SEED = "t1 long, t2 long, m int, a int, b int, lo int, hi int, key long, segment long"
+#: Bytes of a text whose windows are hashed at once: bounds the memory that a long text takes.
+BLOCK = 8 << 20
+
+
+def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans as maximal runs (touching ones are one), by owner and start."""
+    order = np.lexsort((end, start, owner))
+    owner, start, end = owner[order], start[order], end[order]
+    far = np.maximum.accumulate(end + (owner << 33))  # ends of later owners are above all before
+    new = np.append(True, (owner[1:] != owner[:-1]) | (start[1:] + (owner[1:] << 33) > far[:-1])) if len(owner) else np.zeros(0, bool)
+    at = np.flatnonzero(new)
+    return owner[at], start[at], np.maximum.reduceat(end, at) if len(at) else end
 
 
 def seeds(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """The seeds of all texts, once for equal texts."""
+    """The seeds of all texts. Texts and segments that a batch has several times leave it once: the repeats of a
+    segment are known there, and are rows without key, with a repeated run in a and b."""
 
-    def of(batch: pa.RecordBatch):
-        for x, y, data, offsets in text_chunks(batch.column(2), 1 << 20):
-            doc, m, a, b, key, segment = seeds_of(data, offsets, length, gram)
-            take = pa.array(doc)
-            ints = [pa.array(v.astype(np.int32)) for v in (m, a, b, np.zeros(len(m)), np.full(len(m), length - gram))]
-            longs = [pa.array(v.view(np.int64)) for v in (key, segment)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(x, y - x).take(take) for k in (0, 1)), *ints, *longs], names=["t1", "t2", "m", "a", "b", "lo", "hi", "key", "segment"])
+    def blocks(column: pa.Array):
+        for x, _, data, offsets in text_chunks(column, 1 << 20):
+            for at in range(0, max(len(data) - length + 1, 1), BLOCK) if len(offsets) == 2 else (0,):
+                part = data[at : at + BLOCK + length - 1] if len(offsets) == 2 else data
+                doc, m, a, b, key, segment = seeds_of(part, np.array([0, len(part)]) if len(offsets) == 2 else offsets, length, gram)
+                yield doc + x, m + at, a + at, b + at, key, segment
 
-    return arrow_map(docs.select(*[c.alias(k) for k, c in _keys().items()], _text().alias("text")), of, ROW).distinct()
+    def of(batch: pa.RecordBatch):
+        ids = np.stack([batch.column(k).to_numpy() for k in (0, 1)], 1)
+        batch = batch.take(pa.array(np.sort(np.unique(ids, axis=0, return_index=True)[1])))
+        doc, m, a, b, key, segment = (np.concatenate(v) for v in zip(*blocks(batch.column(2)), strict=True)) if batch.num_rows else [np.zeros(0, k) for k in [np.int64] * 4 + [np.uint64] * 2]
+        key, segment = key.view(np.int64), segment.view(np.int64)
+        order = np.lexsort((segment, key))
+        same = np.zeros(len(order) + 1, bool)
+        same[1:-1] = (key[order[1:]] == key[order[:-1]]) & (segment[order[1:]] == segment[order[:-1]])
+        again = order[same[1:] | same[:-1]]
+        owner, start, end = merged(doc[again], a[again], b[again] + length)
+        one = np.sort(order[~same[:-1]])
+        take = pa.array(np.concatenate([doc[one], owner]))
+        pad = np.zeros(len(owner), np.int64)
+        ints = [np.concatenate(v) for v in ((m[one], pad), (a[one], start), (b[one], end), (one * 0, pad), (one * 0 + length - gram, pad))]
+        known = np.arange(len(take)) >= len(one)
+        longs = [pa.array(np.concatenate([v[one], pad]), mask=known) for v in (key, segment)]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).take(take) for k in (0, 1)), *[pa.array(v.astype(np.int32)) for v in ints], *longs], names=["t1", "t2", "m", "a", "b", "lo", "hi", "key", "segment"])
+
+    return arrow_map(docs.select(*[c.alias(k) for k, c in _keys().items()], _text().alias("text")), of, SEED)
 
 
 def sort_columns(symbols: np.ndarray, group: np.ndarray, length: int) -> np.ndarray:
@@ -124,15 +157,15 @@ def sort_columns(symbols: np.ndarray, group: np.ndarray, length: int) -> np.ndar
 
 
 def group_spans(members: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
-    """Repeated spans (t1, t2, s, e) among segments, compared inside equal (lo, hi, key)."""
-    members = members.drop_duplicates(["lo", "hi", "key", "t1", "t2", "m"]).reset_index(drop=True)
+    """Repeated spans (t1, t2, s, e) among segments, compared inside equal keys."""
+    members = members.drop_duplicates(["key", "t1", "t2", "m", "a"]).reset_index(drop=True)
     left = length - gram
     symbols = np.full((len(members), left + length), -1, np.int16)
-    a, b, m = (members[k].to_numpy(np.int64) for k in ("a", "b", "m"))
+    a, m = (members[k].to_numpy(np.int64) for k in ("a", "m"))
     for i, segment in enumerate(members["bytes"]):
         begin = left - m[i] + a[i]
         symbols[i, begin : begin + len(segment)] = np.frombuffer(segment, np.uint8)
-    group = members.groupby(["lo", "hi", "key"], sort=False).ngroup().to_numpy()
+    group = members.groupby("key", sort=False).ngroup().to_numpy()
     repeated = sort_columns(symbols, group, length)
     edge = np.diff(np.pad(repeated, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, start = np.nonzero(edge == 1)
@@ -144,10 +177,11 @@ def group_spans(members: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
 def opened(docs: DataFrame, first: DataFrame, rows: DataFrame, schema: str, fn) -> DataFrame:
     """fn(key columns, seeds of a text, bytes of the text) -> pandas frame, for one text of each class that has seeds in rows."""
     at = rows.groupBy("t1", "t2").agg(F.collect_list(F.struct("m", "a", "b", "lo", "hi", "key")).alias("seeds"))
-    wanted = at.join(first, ["t1", "t2"]).select("t1", "t2", "seeds", F.col("doc_id").alias("__first"))
+    wanted = at.join(first.withColumnRenamed("doc_id", "__first"), ["t1", "t2"])
     texts = docs.select("doc_id", _text().alias("text")).withColumns(_keys())
-    ids = small(wanted.select(F.col("t1").alias("u1"), F.col("t2").alias("u2"), "__first"), 200_000)
-    texts = texts.join(ids, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")) & F.col("doc_id").eqNullSafe(F.col("__first")), "left_semi").select("t1", "t2", "text")
+    ids = wanted.select("t1", "t2").distinct()
+    if ids.limit(OPENED + 1).count() <= OPENED:  # else texts are shuffled without this filter
+        texts = texts.join(F.broadcast(ids), ["t1", "t2"], "left_semi")
 
     def of(frames):
         for pdf in frames:
@@ -155,15 +189,24 @@ def opened(docs: DataFrame, first: DataFrame, rows: DataFrame, schema: str, fn)
             for k in range(0, len(found), 64):
                 yield pd.concat(found[k : k + 64])
 
-    return texts.join(wanted.drop("__first"), ["t1", "t2"]).select("t1", "t2", "text", "seeds").mapInPandas(of, schema)
+    return texts.join(wanted, ["t1", "t2"]).where(F.col("doc_id").eqNullSafe(F.col("__first"))).select("t1", "t2", "text", "seeds").mapInPandas(of, schema)
 
 
 def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """(t1, t2, spans): for each class of equal texts, the repeated bytes as maximal runs (s, e)."""
+    spark = docs.sparkSession
     classes, _ = stored(docs.select("doc_id", *[c.alias(k) for k, c in _keys().items()], F.octet_length(_text()).alias("n")).groupBy("t1", "t2", "n").agg(F.count("*").alias("many"), F.min("doc_id").alias("doc_id")), "classes")
     found = [classes.where((F.col("many") > 1) & (F.col("n") >= length)).select("t1", "t2", F.lit(0).alias("s"), F.col("n").cast("int").alias("e"))]
-    rows, _ = stored(seeds(docs, length, gram), "seeds")
-    key = ["lo", "hi", "key"]
+
+    def keep(spans: DataFrame) -> None:
+        found.append(stored(spans, "spans")[0])
+
+    every, every_path = stored(seeds(docs, length, gram), "seeds")
+    keep(every.where("key is null").select("t1", "t2", F.col("a").alias("s"), F.col("b").alias("e")))
+    # keys that only one segment has can't be repeats: they are found by the key alone, before rows move
+    shared = every.where("key is not null").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    rows, rows_path = stored(every.where("key is not null").join(shared, "key", "left_semi"), "seeds")
+    drop_path(spark, every_path)
 
     def segments(t1, t2, s, text: bytes) -> pd.DataFrame:
         return pd.DataFrame([(t1, t2, x["m"], x["a"], x["b"], x["lo"], x["hi"], x["key"], text[x["a"] : x["b"] + length]) for x in s], columns=["t1", "t2", "m", "a", "b", "lo", "hi", "key", "bytes"])
@@ -175,8 +218,8 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
             for lo, hi in ((x["lo"], mid), (mid + 1, x["hi"])):
                 a, b = max(x["a"], x["m"] - hi), min(x["b"], x["m"] - lo)
                 if a <= b and lo <= hi:
-                    shared = hashlib.blake2b(text[x["m"] - lo : x["m"] - hi + length], digest_size=8).digest()
-                    whole = hashlib.blake2b(text[a : b + length] + bytes([(x["m"] - a) % 256, (x["m"] - a) // 256]), digest_size=8).digest()
+                    shared = hashlib.blake2b(text[x["m"] - lo : x["m"] - hi + length] + lo.to_bytes(4, "little") + hi.to_bytes(4, "little"), digest_size=8).digest()
+                    whole = hashlib.blake2b(text[a : b + length] + (x["m"] - a).to_bytes(4, "little"), digest_size=8).digest()
                     out.append((t1, t2, x["m"], a, b, lo, hi, *(int.from_bytes(h, "little", signed=True) for h in (shared, whole))))
         return pd.DataFrame(out, columns=["t1", "t2", "m", "a", "b", "lo", "hi", "key", "segment"])
 
@@ -186,8 +229,7 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
             held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
             if len(held) < group:
                 continue
-            last = held[key].iloc[-1]
-            open_ = (held[key] == last).all(axis=1)
+            open_ = held["key"] == held["key"].iloc[-1]
             if not open_.all():
                 yield group_spans(held[~open_], length, gram)
                 held = held[open_].reset_index(drop=True)
@@ -196,39 +238,35 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
 
     while True:
         # equal segments are repeats as a whole; one of each goes on
-        same = rows.groupBy(*key, "segment").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "m", "a", "b")).alias("one"))
-        same, same_path = stored(same, "segments")
-        again = same.where("many > 1").select(*key, "segment")
-        found.append(stored(rows.join(again, [*key, "segment"], "left_semi").select("t1", "t2", F.col("a").alias("s"), (F.col("b") + length).alias("e")), "spans")[0])
-        sizes, sizes_path = stored(same.groupBy(*key).agg(F.count("*").alias("kinds")).where("kinds > 1"), "sizes")
-        members = same.join(sizes, key).select(*key, "kinds", "one.*")
-        usual = opened(docs, classes.select("t1", "t2", "doc_id"), members.where(F.col("kinds") <= group), ROW.replace("segment long", "bytes binary"), segments)
-        spans = usual.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key).sortWithinPartitions(*key).mapInPandas(sort_groups, "t1 long, t2 long, s int, e int")
-        found.append(stored(spans, "spans")[0])
+        same, same_path = stored(rows.groupBy("key", "segment").agg(F.count("*").alias("many"), F.min(F.struct("t1", "t2", "m", "a", "b", "lo", "hi")).alias("one")), "segments")
+        again = same.where("many > 1").select("key", "segment")
+        keep(rows.join(again, ["key", "segment"], "left_semi").select("t1", "t2", F.col("a").alias("s"), (F.col("b") + length).alias("e")))
+        sizes, sizes_path = stored(same.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "sizes")
+        members = same.join(sizes, "key").select("key", "kinds", "one.*")
+        usual = opened(docs, classes.select("t1", "t2", "doc_id"), members.where(F.col("kinds") <= group), SEED.replace("segment long", "bytes binary"), segments)
+        keep(usual.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key").mapInPandas(sort_groups, "t1 long, t2 long, s int, e int"))
         large = members.where(F.col("kinds") > group)
-        if not sizes.where(F.col("kinds") > group).limit(1).count():
-            drop_path(docs.sparkSession, same_path, sizes_path)
-            break
-        rows, _ = stored(opened(docs, classes.select("t1", "t2", "doc_id"), large, ROW, halves), "seeds")
+        more = not sizes.where(F.col("kinds") > group).isEmpty()
         # a half of one kind of segment stands for all members with that segment
-        drop_path(docs.sparkSession, sizes_path)
+        fresh = stored(opened(docs, classes.select("t1", "t2", "doc_id"), large, SEED, halves), "seeds") if more else None
+        drop_path(spark, rows_path, same_path, sizes_path)
+        if fresh is None:
+            break
+        rows, rows_path = fresh
     every = found[0]
     for x in found[1:]:
         every = every.union(x)
-    ordered = every.groupBy("t1", "t2").agg(F.sort_array(F.collect_set(F.struct("s", "e"))).alias("spans"))
-    return ordered.withColumn("spans", runs(F.col("spans")))
-
-
-def runs(spans: Column) -> Column:
-    """Sorted spans as maximal runs."""
-    none = F.array().cast("array<struct<s:int,e:int>>")
+    return runs(every)
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        wider = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["s"].alias("s"), F.greatest(last["e"], x["e"]).alias("e"))))
-        return F.when((F.size(acc) > 0) & (x["s"] <= last["e"]), wider).otherwise(F.concat(acc, F.array(F.struct(x["s"].alias("s"), x["e"].alias("e")))))
 
-    return F.aggregate(spans, none, step)
+def runs(spans: DataFrame) -> DataFrame:
+    """(t1, t2, spans): the spans (t1, t2, s, e) of a text as maximal runs; one shuffle, then sorted streams."""
+    inside = W.partitionBy("t1", "t2").orderBy("s", "e")
+    before = F.max("e").over(inside.rowsBetween(W.unboundedPreceding, -1))
+    opens = spans.distinct().withColumn("opens", F.coalesce(F.col("s") > before, F.lit(True)).cast("int"))
+    numbered = opens.withColumn("run", F.sum("opens").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    each = numbered.groupBy("t1", "t2", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return each.groupBy("t1", "t2").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("spans"))
 
 
 def cleaned(text: bytes, spans) -> tuple[bytes, int, int]:
@@ -251,9 +289,6 @@ def cleaned(text: bytes, spans) -> tuple[bytes, int, int]:
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of each row of docs."""
     marks, _ = stored(repeats(docs, length, gram, group), "marks")
-    # marks are broadcast if rows and runs are few (some 10 MB); else texts are shuffled to them
-    n_runs = marks.agg(F.sum(F.size("spans"))).first()[0] or 0
-    marks = small(marks, 200_000) if n_runs <= 600_000 else marks
     rows = docs.select("doc_id", _text().alias("text")).withColumns(_keys()).join(marks, ["t1", "t2"], "left").select("doc_id", "text", "spans")
 
     def of(batch: pa.RecordBatch):
