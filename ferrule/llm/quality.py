@@ -19,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import let, table, words_of
+from ferrule.llm.common import drop_path, let, stored, table, words_of
 
 #: Labelled rows that the learner looks at, at most: those with the smallest hashes of their ids.
 FIT_ROWS = 6000
@@ -161,11 +161,13 @@ def learn(rows: list[dict], features: tuple[str, ...] = tuple(FEATURES), least_p
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn from at most ``fit_rows`` labelled documents that pass the base rule."""
+    """Learn from at most ``fit_rows`` labelled documents that pass the base rule. They are stored before their
+    statistics are computed, so those of other documents are not; of rows that share a doc_id, the smallest text counts."""
     chosen = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("at", F.xxhash64("doc_id", F.lit(7))).orderBy("at", "doc_id").limit(fit_rows)
-    sample = with_stats(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).where("not base_failed")
-    rows = [r.asDict() | {"bad": int(r["quality"] == 0), "part": int(r["at"] % 3 == 0)} for r in sample.select(*FEATURES, "quality", "at", "doc_id").orderBy("at", "doc_id").collect()]
-    return learn(rows)
+    few, path = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "at").agg(F.min("text").alias("text")), "labelled")
+    sample = with_stats(few).where("not base_failed").select(*FEATURES, "quality", "at", "doc_id").collect()
+    drop_path(docs.sparkSession, path)
+    return learn([r.asDict() | {"bad": int(r["quality"] == 0), "part": int(r["at"] % 3 == 0)} for r in sorted(sample, key=lambda r: (r["at"], r["doc_id"]))])
 
 
 def verdict(rules: list[Rule]) -> Column:
