@@ -27,6 +27,8 @@ from ferrule.llm.common import shared_dir, table
 #: Blocks for each new shard, about.
 BLOCKS = 200
 OLD_SHARDS = 32
+#: Bytes of a new shard that one task numbers and writes, about.
+LANE_BYTES = 256 << 20
 
 
 def min_cost_flow(supply: list[int], room: list[int], cost) -> dict[tuple[int, int], int]:
@@ -122,7 +124,14 @@ def reshard(docs: DataFrame, shards: int, old: Column, path: str | None = None)
     parts = F.create_map(*[F.lit(x) for o, b in sizes.items() for x in (o, -(-b // fine))])[F.col("__old")] if sizes else F.lit(1)
     rows = rows.withColumns({"__big": F.col("__size") >= fine, "__block": F.when(F.col("__size") >= fine, F.col("__at")).otherwise(F.pmod("__at", parts.cast("long")))})
     key = ["__old", "__big", "__block"]
-    blocks = [tuple(r) for r in rows.groupBy(*key).agg(F.sum("__size"), F.count("*")).orderBy(*key).collect()]
+    counted = rows.groupBy(*key).agg(F.sum("__size"), F.count("*"))
+    blocks = [tuple(r) for r in counted.collect()]
+    if any(b[1] and b[4] > 1 for b in blocks):  # repeated big rows (some thousand at most): one block each, by their number
+        number = F.row_number().over(W.partitionBy(*key).orderBy("doc_id"))
+        big = rows.where("__big").withColumn("__block", F.xxhash64("__block", number))
+        rows = rows.where("not __big").unionByName(big)
+        blocks = [tuple(r) for r in rows.groupBy(*key).agg(F.sum("__size"), F.count("*")).collect()]
+    blocks.sort()
     at = place_blocks([(b[0], b[3]) for b in blocks], shards) if blocks else []
     filled, placed = [0] * shards, []
     for b, j in zip(blocks, at, strict=True):
@@ -131,7 +140,7 @@ def reshard(docs: DataFrame, shards: int, old: Column, path: str | None = None)
     touched = {x for (o, *_), j in zip(blocks, at, strict=True) if o != j for x in (o, j)}
     plan = spark.createDataFrame(placed, "__old int, __big boolean, __block long, shard int, __first long")
     # one shuffle of the texts: whole blocks go to the lanes of their shard, which clusters the window too
-    lanes = max(1, -(-max(sizes.values(), default=0) // shards // (256 << 20)))
+    lanes = max(1, -(-sum(sizes.values()) // shards // LANE_BYTES))
     order = W.partitionBy("shard", "__lane", *key).orderBy("doc_id", "__crc")
     dealt = rows.join(F.broadcast(plan), key).withColumn("__lane", F.pmod("__block", F.lit(lanes))).repartition(max(shards * lanes, int(spark.conf.get("spark.sql.shuffle.partitions"))), "shard", "__lane")
     whole = dealt.withColumn("slot", F.col("__first") + F.row_number().over(order) - 1).select(*own, F.col("__old").alias("old_shard"), "shard", "slot", F.col("__size").alias("size"))
