@@ -174,33 +174,41 @@ def linked(a: np.ndarray, b: np.ndarray, near: int) -> bool:
 def spanning_links(ids: list, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, near: int) -> list[tuple]:
     """Links (id, id) that connect what the links between left and right positions connect; pairs
     already connected are not verified again."""
-    comp = np.arange(len(ids))
+    up = np.arange(len(ids))  # union-find: a root is its own parent
     out: list[tuple] = []
 
+    def roots(i: np.ndarray) -> np.ndarray:
+        r = up[i]
+        while (up[r] != r).any():
+            r = up[r]
+        up[i] = r
+        return r
+
     def try_link(i: int, j: int) -> None:
         if linked(sets[i], sets[j], near):
             out.append((ids[i], ids[j]))
-            a, b = comp[i], comp[j]
-            comp[comp == max(a, b)] = min(a, b)
+            a, b = roots(np.array([i, j]))
+            up[max(a, b)] = min(a, b)
 
     sizes = np.array([len(s) for s in sets])
     for j in right:  # most near copies are linked to the first: a star settles them
         i = left[0]
-        if i != j and comp[i] != comp[j] and 100 * min(sizes[i], sizes[j]) >= near * max(sizes[i], sizes[j]):
+        if i != j and 100 * min(sizes[i], sizes[j]) >= near * max(sizes[i], sizes[j]) and np.ptp(roots(np.array([i, j]))):
             try_link(i, j)
     one, two = Tree([sets[i] for i in left]), Tree([sets[j] for j in right])
+    first = lambda: roots(left[:1])[0]
     for leaf in two.leaves:
         theirs = right[leaf]
-        if (comp[theirs] == comp[left[0]]).all() and (comp[left] == comp[left[0]]).all():
+        if (roots(theirs) == first()).all() and (roots(left) == first()).all():
             continue
         for k in one.near(two, leaf, near):
             mine = left[one.leaves[k]]
-            mask = comp[mine][:, None] != comp[theirs][None, :]
+            mask = roots(mine)[:, None] != roots(theirs)[None, :]
             if not mask.any():
                 continue
             mask &= one.pairs(one.leaves[k], two, leaf, near)
             for x, y in zip(*np.nonzero(mask), strict=True):
-                if comp[mine[x]] != comp[theirs[y]]:
+                if np.ptp(roots(np.array([mine[x], theirs[y]]))):
                     try_link(int(mine[x]), int(theirs[y]))
     return out
 
@@ -232,8 +240,10 @@ def components(links: DataFrame) -> DataFrame:
 def links_of(docs: DataFrame, reps: DataFrame, shingle: int, near: int, tree_shingles: int) -> DataFrame:
     """Verified links (a, b) between the documents in reps (rep, n, filed), whose texts are in docs."""
     filed = reps.select("rep", "n", F.explode("filed").alias("key"))
-    shared = filed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("many")).where("many > 1").select("key", "pivot")
+    # stored by itself, so that its shuffle is gone before the rows of the keys move
+    shared, shared_path = stored(filed.groupBy("key").agg(F.min("rep").alias("pivot"), F.count("*").alias("many")).where("many > 1").select("key", "pivot"), "pivots")
     members, members_path = stored(filed.join(shared, "key").select("pivot", "rep", "n").distinct(), "members")
+    drop_path(docs.sparkSession, shared_path)
     weights = members.groupBy("pivot").agg(F.sum("n").alias("weight"), F.count("*").alias("m")).where("m > 1")
     blocks = members.join(weights, "pivot").select(
         "pivot", "rep", F.ceil(F.col("weight") / tree_shingles).cast("int").alias("blocks"), F.pmod(F.xxhash64("rep", F.lit(11)), F.ceil(F.col("weight") / tree_shingles)).cast("int").alias("block")
@@ -251,7 +261,7 @@ def links_of(docs: DataFrame, reps: DataFrame, shingle: int, near: int, tree_shi
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), _lists(owner, hashes, b - a)], names=["rep", "trees", "hashes"])
 
     tree_type = "array<struct<pivot:bigint,i:int,j:int,block:int>>"
-    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(small(trees.select("rep"), 200_000), "rep", "left_semi").dropDuplicates(["rep"]).join(trees, "rep").select("rep", "text", F.col("trees").cast(tree_type))
+    wanted = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text")).join(small(trees.select("rep"), 200_000), "rep", "left_semi").dropDuplicates(["rep", "text"]).join(trees, "rep").select("rep", "text", F.col("trees").cast(tree_type))
     sets = arrow_map(wanted, sets_of, f"rep long, trees {tree_type}, hashes array<long>").select(F.explode("trees").alias("t"), "rep", "hashes").select("t.*", "rep", "hashes")
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -272,14 +282,19 @@ def ngram_join(docs: DataFrame, shingle: int = 5, near: int = 80, tree_shingles:
     """One row for each row of docs: doc_id, n_shingles, class_id (smallest doc_id with the same set)
     and component_id (smallest doc_id reachable by links of at least ``near`` per cent)."""
     spark = docs.sparkSession
-    rows, rows_path = stored(profile(docs, shingle, near), "profile")
+    wide, wide_path = stored(profile(docs, shingle, near), "profile")
+    rows, _ = stored(wide.drop("filed"), "sizes")
     classes, _ = stored(rows.where("n > 0").groupBy("n", "fp1", "fp2").agg(F.min("doc_id").alias("class_id")), "classes")
     # the filed hashes of a class are those of the row with its smallest id
     reps = (
-        rows.where("n > 0 and doc_id is not null and size(filed) > 0").join(classes.select(F.col("class_id").alias("doc_id"), "n", "fp1", "fp2"), ["doc_id", "n", "fp1", "fp2"], "left_semi")
+        wide.where("n > 0 and doc_id is not null and size(filed) > 0").join(classes.select(F.col("class_id").alias("doc_id"), "n", "fp1", "fp2"), ["doc_id", "n", "fp1", "fp2"], "left_semi")
         .dropDuplicates(["doc_id", "fp1", "fp2"]).select(F.col("doc_id").alias("rep"), "n", "filed")
     )
-    found = components(links_of(docs, reps, shingle, near, tree_shingles))
+    # rows of one doc_id with different sets are one document: their classes are linked
+    own = rows.where("n > 0 and doc_id is not null").join(classes, ["n", "fp1", "fp2"]).select("doc_id", "class_id").distinct()
+    several = own.groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b")).where("a <> b").select("doc_id", "a")
+    found = components(links_of(docs, reps, shingle, near, tree_shingles).union(own.join(several, "doc_id").where("a <> class_id").select("a", "class_id")))
+    drop_path(spark, wide_path)
     named = classes.join(found, classes.class_id == found.id, "left").select("n", "fp1", "fp2", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     empty = rows.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     full = rows.where("n > 0").select("doc_id", "n", "fp1", "fp2").join(named, ["n", "fp1", "fp2"]).select("doc_id", F.col("n").alias("n_shingles"), "class_id", "component_id")
