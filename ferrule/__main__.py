@@ -14,11 +14,11 @@ from ferrule.plans.analyze import Analysis, analyze
 def arguments(argv: list[str]) -> argparse.Namespace:
     a = argparse.ArgumentParser("ferrule", description="Rules over graphs and tables on Spark.")
     a.add_argument("files", nargs="*", help="programs, joined in order; none or -: standard input")
-    for flag, text in (("all", "input and inferred triples"), ("json", "JSON output"), ("stats", "layers and passes, on standard error"), ("check", "analyse only"), ("strict", "warnings are errors"), ("deps", "dependencies of rules, on standard error"), ("no-hybrid", "keep helper predicates in the result"), ("no-imports", "leave imports out"), ("rdf-messages", "the input is a message log"), ("include-message-facts", "payloads of a message log are facts")):
+    for flag, text in (("all", "input and inferred triples"), ("json", "JSON output"), ("stats", "layers and passes, on standard error"), ("check", "analyse only"), ("strict", "warnings are errors"), ("deps", "dependencies of rules, on standard error"), ("trace", "what each rule adds in each pass, on standard error or in JSON"), ("no-hybrid", "keep helper predicates in the result"), ("no-imports", "leave imports out"), ("rdf-messages", "the input is a message log"), ("include-message-facts", "payloads of a message log are facts")):
         a.add_argument(f"--{flag}", action="store_true", help=text)
     a.add_argument("--query", help="a body pattern; its solutions are the output")
     a.add_argument("--query-file", help="a file with such a pattern")
-    a.add_argument("--query-mode", choices=("auto", "forward"), default="auto")
+    a.add_argument("--query-mode", choices=("auto", "backward", "forward"), default="auto")
     a.add_argument("--max-iterations", type=int, default=10_000)
     a.add_argument("--syntax", choices=("auto", "srl", "rdf"), default="auto")
     a.add_argument("--ruleset", help="the rule set of an RDF encoding to run")
@@ -52,7 +52,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         source = "\n".join(Path(f).read_text() for f in files) if files else sys.stdin.read()
         base = Path(files[0]).resolve().as_uri() if len(files) == 1 else ""
         syntax = "messages" if a.rdf_messages else "rdf" if a.syntax == "auto" and base.endswith((".ttl", ".trig", ".nt", ".n3")) else a.syntax
-        options = engine.Options(a.max_iterations, base=base, hybrid=not a.no_hybrid)
+        options = engine.Options(a.max_iterations, base=base, hybrid=not a.no_hybrid, trace=a.trace)
         program = engine.parse_any(source, base, syntax=syntax, ruleset=a.ruleset, include_facts=a.include_message_facts)
         if a.no_imports:
             program.imports = []
@@ -80,9 +80,12 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             triples = result.closure() if a.all else result.inferred()
             if a.json:
                 asked = engine.query(spark, program, pattern, None, options, a.query_mode) if pattern is not None else None
-                lines = [to_json(triples, prefixes, base, result.iterations, analysis.diagnostics, asked)]
+                told = {"layers": [[program.rules[i].name for i in layer] for layer in analysis.layers], "edges": [[i, j] for i in sorted(analysis.edges) for j in sorted(analysis.edges[i])]} if a.deps else None
+                lines = [to_json(triples, prefixes, base, result.iterations, analysis.diagnostics, asked, result.trace if a.trace else None, told)]
             else:
                 lines = format_triples(triples, prefixes)
+            for r, k, p, n in result.trace if a.trace and not a.json else []:
+                say(f"trace: pass {k}: {r} added {n}{'' if p is None else ' to ' + p}")
             if a.stats:
                 say(f"rules {len(program.rules)}, layers {len(analysis.layers)}, passes {result.iterations}")
         print("\n".join(lines))

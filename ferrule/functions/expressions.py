@@ -8,6 +8,7 @@ is NULL here, which a filter rejects and an assignment drops.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,13 +16,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ferrule import terms as T
+from ferrule.functions import bigint
 
 
 @dataclass(frozen=True)
 class V:
     kind: str
     col: Column
-    nested: bool = False
 
 
 @dataclass
@@ -29,8 +30,10 @@ class Context:
     """What expressions may refer to besides variables."""
 
     base: str = ""
-    now: str = "1970-01-01T00:00:00.000Z"
+    now: str = ""
     functions: dict[str, Callable[..., Column]] = field(default_factory=dict)
+    uuids: Callable[[], Column] | None = None
+    wide: bool = False
 
 
 #: Names and arities of the builtin functions.
@@ -61,8 +64,8 @@ def constant(term: str) -> V:
         if not tail:
             return V("str", F.lit(text))
         datatype = tail[3:-1]
-        if datatype == T.INTEGER and abs(int(text)) < 1 << 63:
-            return V("num", F.lit(int(text)))
+        if datatype == T.INTEGER:
+            return V("num", F.lit(int(text))) if abs(int(text)) < 1 << 63 else V("term", F.lit(term))
         if datatype in T.NUMERIC:
             return V("num", F.lit(float(text)))
         if datatype == T.BOOLEAN:
@@ -79,6 +82,11 @@ def _tail(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, r'(?s)^"(?:[^"\\]|\\.)*"' + pattern + "$", group)
 
 
+#: Digits and sign of integers that doubles hold exactly, at most; longer ones are computed as text.
+_EXACT = 15
+_WHOLE = "^-?[0-9]+$"
+
+
 def _is_literal(c: Column) -> Column:
     return c.startswith('"')
 
@@ -88,7 +96,11 @@ def datatype(c: Column) -> Column:
 
 
 def _number_text(c: Column) -> Column:
-    d = c.cast("double")
+    whole = c.cast("string")  # integers of any width as they are; others as the shortest text of a double
+    return F.when(whole.rlike(_WHOLE), whole).otherwise(_double_text(c.cast("double")))
+
+
+def _double_text(d: Column) -> Column:
     text = F.regexp_replace(F.regexp_replace(d.cast("string"), r"(\.0)?E(-?)", "e$2"), r"e(\d)", "e+$1")
     return F.when((d == F.floor(d)) & (F.abs(d) < 1e18), d.cast("decimal(38,0)").cast("string")).otherwise(text)
 
@@ -156,7 +168,8 @@ def _equal(a: V, b: V) -> Column:
     t, p = (a, b) if a.kind == "term" else (b, a)
     dt = datatype(t.col)
     if p.kind == "num":
-        return dt.isin(list(T.NUMERIC)) & F.coalesce(as_num(t) == p.col, F.lit(False))
+        same = F.when((dt == T.INTEGER) & (F.length(as_str(t)) > _EXACT), as_str(t) == as_str(p)).otherwise(as_num(t) == p.col)
+        return dt.isin(list(T.NUMERIC)) & F.coalesce(same, F.lit(False))
     if p.kind == "bool":
         return (dt == T.BOOLEAN) & (as_str(t) == p.col.cast("string"))
     # the value of an IRI or a typed, untyped or tagged string is its text
@@ -171,26 +184,35 @@ def _order(op: str, a: V, b: V) -> Column:
         return by(a.col, b.col)
     if {a.kind, b.kind} <= {"str", "ts", "bool"}:
         return by(as_str(a), as_str(b))
-    return F.when(is_num(a) & is_num(b), by(as_num(a), as_num(b))).otherwise(by(as_str(a), as_str(b)))
+    x, y = as_str(a), as_str(b)
+    long = _both_whole(a, b) & (F.greatest(F.length(x), F.length(y)) > _EXACT)
+    return F.when(long, by(bigint.compare(x, y), F.lit(0))).when(is_num(a) & is_num(b), by(as_num(a), as_num(b))).otherwise(by(x, y))
 
 
-def _plus(a: V, b: V) -> V:
-    if a.kind == b.kind == "num":
-        return V("num", F.try_add(a.col, b.col))
-    if "term" not in (a.kind, b.kind):
-        return V("str", F.concat(as_str(a), as_str(b)))
-    return V("term", _once(a, lambda x: _once(b, lambda y: _sum_or_text(x, y))))
+def _both_whole(a: V, b: V) -> Column:
+    whole = lambda v: datatype(v.col) == T.INTEGER if v.kind == "term" else v.col.cast("string").rlike(_WHOLE) if v.kind == "num" else F.lit(False)
+    return whole(a) & whole(b)
 
 
-def _sum_or_text(a: V, b: V) -> Column:
-    number, text = V("num", F.try_add(as_num(a), as_num(b))), V("str", F.concat(as_str(a), as_str(b)))
-    return F.when(is_num(a) & is_num(b), as_term(number)).otherwise(as_term(text))
+_OPS = {"+": F.try_add, "-": F.try_subtract, "*": F.try_multiply}
 
 
-def _once(v: V, body: Callable[[V], Column]) -> Column:
-    """body of a value that body uses several times: a term is computed once, so that nested sums stay
-    as long as they are written."""
-    return F.transform(F.array(v.col), lambda x: body(V(v.kind, x)))[0] if v.kind == "term" and v.nested else body(v)
+def _arithmetic(op: str, a: V, b: V, wide: bool = False) -> V:
+    """Sum, difference, product: exact for integers if one of them is a term (up to 38 digits, with ``wide`` of any
+    length); + of others is text."""
+    if a.kind == b.kind == "num":
+        return V("num", _OPS[op](a.col, b.col))
+    if "term" not in (a.kind, b.kind):
+        return V("str", F.concat(as_str(a), as_str(b))) if op == "+" else V("num", _OPS[op](as_num(a), as_num(b)))
+    x, y = as_str(a), as_str(b)
+    long = _both_whole(a, b) & (F.length(x) + F.length(y) > _EXACT)
+    whole = _both_whole(a, b)
+    text = bigint.of_decimals(op, x, y)
+    if wide:
+        text = F.coalesce(text, bigint.of_any_length(op, F.when(whole, x), F.when(whole, y)))
+    number = as_term(V("num", _OPS[op](x.try_cast("double"), y.try_cast("double"))))
+    out = F.when(long, F.concat(F.lit('"'), text, F.lit(f'"^^<{T.INTEGER}>')))
+    return V("term", out.when(is_num(a) & is_num(b), number).otherwise(as_term(V("str", F.concat(x, y)))) if op == "+" else out.otherwise(number))
 
 
 def _divide(a: V, b: V) -> V:
@@ -269,10 +291,24 @@ def _direction(v: V) -> Column:
     return _tail(v.col, r"@[A-Za-z0-9-]+?--(\w+)") if v.kind == "term" else F.lit("")
 
 
+def _units(text: Column) -> Column:
+    """Length in UTF-16 units, as the language has it."""
+    return F.call_function("div", F.octet_length(F.encode(text, "UTF-16BE")), F.lit(2)).cast("int")
+
+
 def _substr(v: V, start: V, length: V | None = None) -> V:
     begin = F.greatest(as_num(start).cast("int") - 1, F.lit(0))
     size = F.greatest(as_num(length).cast("int"), F.lit(0)) if length is not None else F.lit(1 << 30)
-    return V("str", F.substring(as_str(v), begin + 1, size))
+
+    def units(text: Column) -> Column:
+        """Characters that lie in the range as a whole; those outside the plane of 16 bits take two units."""
+        step = lambda acc, c: F.struct(
+            (acc["at"] + _units(c)).alias("at"), F.when((acc["at"] >= begin) & (acc["at"] + _units(c) <= begin + size), F.concat(acc["out"], c)).otherwise(acc["out"]).alias("out")
+        )
+        return F.aggregate(F.split(text, ""), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)["out"]
+
+    text = as_str(v)
+    return V("str", F.when(_units(text) == F.length(text), F.substring(text, begin + 1, size)).otherwise(units(text)))
 
 
 def _around(v: V, mark: V, before: bool) -> V:
@@ -282,11 +318,34 @@ def _around(v: V, mark: V, before: bool) -> V:
     return V("str", F.when(at > 0, found).otherwise(""))
 
 
+def _dotless(path: Column) -> Column:
+    """A path without . and .. segments."""
+    parts = F.split(path, "/")
+
+    def step(acc: Column, x: Column) -> Column:
+        up = F.when(F.size(acc) > 1, F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(acc)
+        return F.when(x == ".", acc).when(x == "..", up).otherwise(F.concat(acc, F.array(x)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    open_ = F.element_at(parts, -1).isin(".", "..")
+    return F.concat(F.array_join(kept, "/"), F.when(open_, F.lit("/")).otherwise(F.lit("")))
+
+
 def _iri(v: V, ctx: Context) -> V:
+    """Resolved against the base as RFC 3986 has it; the parts of the base are known here, the reference is a column."""
     text = as_str(v)
-    absolute = text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    base = ctx.base if not ctx.base or ctx.base.endswith(("/", "#")) else ctx.base.rpartition("/")[0] + "/"
-    return V("term", F.concat(F.lit("<"), F.when(absolute, text).otherwise(F.concat(F.lit(base), text)), F.lit(">")))
+    m = re.match(r"([A-Za-z][A-Za-z0-9+.-]*:)?(//[^/?#]*)?([^?#]*)(\?[^#]*)?", ctx.base)
+    scheme, host, path, asked = (x or "" for x in m.groups())
+    own = F.regexp_extract(text, r"^[^?#]*", 0)
+    tail = F.substring(text, F.length(own) + 1, F.length(text))
+    folder = path[: path.rfind("/") + 1] or ("/" if host else "")
+    found = (
+        F.when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), text)
+        .when(text.startswith("//"), F.concat(F.lit(scheme), text))
+        .when(own == "", F.concat(F.lit(scheme + host + path), F.when(tail.startswith("?"), F.lit("")).otherwise(F.lit(asked)), tail))
+        .otherwise(F.concat(F.lit(scheme + host), _dotless(F.when(own.startswith("/"), own).otherwise(F.concat(F.lit(folder), own))), tail))
+    )
+    return V("term", F.concat(F.lit("<"), found if ctx.base else text, F.lit(">")))
 
 
 def _round(v: V) -> V:
@@ -318,7 +377,7 @@ FUNCTIONS: dict[str, Callable[..., V]] = {
     "ROUND": _round,
     "CONCAT": lambda *vs: V("str", F.concat(*[as_str(v) for v in vs]) if vs else F.lit("")),
     "SUBSTR": _substr,
-    "STRLEN": lambda v: V("num", F.length(as_str(v))),
+    "STRLEN": lambda v: V("num", _units(as_str(v))),
     "REPLACE": _replace,
     "REGEX": lambda v, p, f=None: V("bool", F.regexp_like(as_str(v), F.concat(_regex_flags(f), as_str(p)))),
     "UCASE": lambda v: V("str", F.upper(as_str(v))),
@@ -361,6 +420,10 @@ def compile_expression(e: tuple, env: dict[str, V], ctx: Context) -> V:
         values = [compile_expression(a, env, ctx) for a in args]
         if name.startswith("<"):
             if name not in ctx.functions:
+                if len(values) == 1 and re.split(r"[#/:]", name[1:-1])[-1].lower() == "sudoku":
+                    from ferrule.functions.sudoku import sudoku
+
+                    return V("str", sudoku(as_str(values[0])))
                 raise ValueError(f"unknown function {name}")
             return V("term", ctx.functions[name](*[as_term(v) for v in values]))
         if name == "IF":
@@ -368,10 +431,14 @@ def compile_expression(e: tuple, env: dict[str, V], ctx: Context) -> V:
             if a.kind == b.kind:
                 return V(a.kind, F.when(as_bool(test), a.col).otherwise(b.col))
             return V("term", F.when(as_bool(test), as_term(a)).otherwise(as_term(b)))
+        if name == "ISLITERAL" and args[0][0] == "var" and values[0].kind != "term":
+            return V("bool", F.lit(True))  # a value of a table column is a literal
         if name in ("IRI", "URI"):
             return _iri(values[0], ctx)
         if name == "NOW":
             return V("term", F.lit(f'"{ctx.now}"^^<{T.XSD}dateTime>'))
+        if name in ("UUID", "STRUUID") and ctx.uuids is not None:
+            return V("term", F.concat(F.lit("<urn:uuid:"), ctx.uuids(), F.lit(">"))) if name == "UUID" else V("str", ctx.uuids())
         if name == "BNODE":
             return V("term", F.concat(F.lit("_:"), as_str(values[0]) if values else F.uuid()))
         return FUNCTIONS[name](*values)
@@ -383,7 +450,7 @@ def compile_expression(e: tuple, env: dict[str, V], ctx: Context) -> V:
     if op == "u!":
         return V("bool", ~as_bool(values[0]))
     if op == "u-":
-        return V("num", -as_num(values[0]))
+        return V("num", -as_num(values[0])) if values[0].kind != "term" else _arithmetic("-", V("num", F.lit(0)), values[0], ctx.wide)
     if op == "u+":
         return V("num", as_num(values[0]))
     if op in ("in", "not in"):
@@ -396,12 +463,7 @@ def compile_expression(e: tuple, env: dict[str, V], ctx: Context) -> V:
         return V("bool", _equal(a, b) if op == "=" else ~_equal(a, b))
     if op in ("<", "<=", ">", ">="):
         return V("bool", _order(op, a, b))
-    if op == "+":
-        a, b = (V(v.kind, v.col, x[0] not in ("var", "term")) for v, x in zip((a, b), e[1:], strict=True))
-        return _plus(a, b)
-    if op == "/":
-        return _divide(a, b)
-    return V("num", (F.try_subtract if op == "-" else F.try_multiply)(as_num(a), as_num(b)))
+    return _divide(a, b) if op == "/" else _arithmetic(op, a, b, ctx.wide)
 
 
 def expression_variables(e: tuple) -> set[str]:

@@ -56,6 +56,8 @@ class Program:
     prefixes: dict[str, str] = field(default_factory=lambda: dict(PREFIXES))
     data: list[tuple[str, str, str]] = field(default_factory=list)
     rules: list[Rule] = field(default_factory=list)
+    #: Rules of one shape that were turned to facts (class, implied class), and the classes that can occur (None: all).
+    implied: tuple[list[tuple[str, str]], set[str] | None] | None = None
 
 
 _TOKEN = re.compile(
@@ -106,6 +108,7 @@ class Parser:
         self.program.prefixes.update(prefixes or {})
         self.fresh = 0
         self.blank_scope = ""
+        self.lexical = False  # keep typed literals as they are written
 
     # tokens
     def error(self, what: str) -> ParseError:
@@ -391,7 +394,10 @@ class Parser:
             if self.kind == "lang":
                 lang, _, direction = self.take()[1:].partition("--")
                 return T.literal(text, None, lang, direction or None)
-            return T.literal(text, self.iri_value()) if self.match("^^") else T.literal(text)
+            if self.match("^^"):
+                datatype = self.iri_value()
+                return f"{T.quoted(text)}^^<{datatype}>" if self.lexical and datatype != T.STRING else T.literal(text, datatype)
+            return T.literal(text)
         sign = "-" if self.match("-") else "" if self.match("+") else None
         if self.kind == "number":
             text = (sign or "") + self.take()
@@ -498,9 +504,10 @@ def parse(source: str, base: str = "", strict: bool = False) -> Program:
     return Parser(source, base, strict=strict).parse()
 
 
-def parse_graph(source: str, base: str = "", prefixes: dict[str, str] | None = None, scope: str = "") -> tuple[list[tuple[str, str, str]], dict[str, str]]:
-    """Triples and prefixes of a Turtle or TriG text."""
+def parse_graph(source: str, base: str = "", prefixes: dict[str, str] | None = None, scope: str = "", lexical: bool = False) -> tuple[list[tuple[str, str, str]], dict[str, str]]:
+    """Triples and prefixes of a Turtle or TriG text. lexical: typed literals keep their written form, as entailment needs."""
     p = Parser(source, base, prefixes)
+    p.lexical = lexical
     p.blank_scope = scope
     out: list = []
     p.graph(out, None)

@@ -11,8 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.functions.expressions import FUNCTIONS, Context, V, as_bool, as_term, compile_expression, constant, kind_of
+from ferrule.functions.expressions import FUNCTIONS, Context, V, as_bool, as_term, compile_expression, constant, expression_variables, kind_of
 from ferrule.lang.parser import Atom, Filter, Not, Set
+from ferrule.plans.analyze import atom_variables
 from ferrule.sources.catalog import Relation, Store
 from ferrule.terms import Nested, Var
 
@@ -54,7 +55,8 @@ def _match(df: DataFrame, shape: list[tuple[str, str, object]]) -> Solutions:
     return Solutions(df.select(*[v.col.alias(k) for k, v in bound.items()]) if bound else df.select(F.lit(1).alias("__one")), {k: v.kind for k, v in bound.items()})
 
 
-def join(a: Solutions, b: Solutions) -> Solutions:
+def join(a: Solutions, b: Solutions, semi: bool = False) -> Solutions:
+    """semi: nothing that b alone binds is wanted, so a row of a stays once however many rows of b it meets."""
     if a.df is None:
         return b
     shared = [k for k in b.kinds if k in a.kinds]
@@ -67,15 +69,36 @@ def join(a: Solutions, b: Solutions) -> Solutions:
             kinds[k] = "term"
     if not shared:
         return Solutions(_cross(left, right, a, b), kinds)
+    if semi:
+        return Solutions(left.join(right, shared, "left_semi"), {k: kinds[k] for k in a.kinds})
     return Solutions(left.join(right, shared), kinds)
 
 
+def _once(df: DataFrame, name: str, values: Column) -> DataFrame:
+    """df with a column of the elements of a list of one or no value. A generator keeps the optimizer from writing
+    the expression out wherever the column is read, which grows without bound along a chain of assignments."""
+    return df.select(*[F.col(f"`{k}`") for k in df.columns], F.explode(values).alias(name))
+
+
+def variables_of(clauses) -> set[str]:
+    """Variables that clauses read or bind."""
+    out: set[str] = set()
+    for c in clauses:
+        if isinstance(c, Atom):
+            out |= atom_variables(c)
+        elif isinstance(c, Not):
+            out |= variables_of(c.body)
+        else:
+            out |= expression_variables(c.expr) | ({c.var} if isinstance(c, Set) else set())
+    return out
+
+
 def _cross(left: DataFrame, right: DataFrame, a: Solutions, b: Solutions) -> DataFrame:
     """No shared variable: all pairs; a side without variables only asks whether it has a row."""
     if not b.kinds:
-        return left.join(right.withColumnRenamed("__one", "__any"), F.lit(True), "left_semi")
+        return left.join(right.withColumnRenamed("__one", "__any").limit(1), F.lit(True), "left_semi")
     if not a.kinds:
-        return right.join(left.withColumnRenamed("__one", "__any"), F.lit(True), "left_semi")
+        return right.join(left.withColumnRenamed("__one", "__any").limit(1), F.lit(True), "left_semi")
     return left.crossJoin(right)
 
 
@@ -116,8 +139,15 @@ class Compiler:
             df = df.where(F.col(f"o{k}").isNotNull())
         return _match(df, [("s", kind_of(types["s"]), atoms[0].s), *[(f"o{k}", kind_of(types[f"o{k}"]), a.o) for k, a in enumerate(atoms)]])
 
-    def body(self, body, delta_at: int | None = None, delta: DataFrame | None = None, kinds: tuple[str, str] = ("term", "term")) -> Solutions:
+    def body(self, body, delta_at: int | None = None, delta: DataFrame | None = None, kinds: tuple[str, str] = ("term", "term"), wanted: set[str] | None = None) -> Solutions:
+        """wanted: the variables that are read afterwards, None for all; patterns that bind no such variable are semi-joins."""
         out, k = Solutions(), 0
+        computed: set[str] = set()
+
+        def joined(found: Solutions, after: int) -> Solutions:
+            semi = wanted is not None and out.df is not None and not ((set(found.kinds) - set(out.kinds)) & (wanted | variables_of(body[after:])))
+            return join(out, found, semi and bool(set(found.kinds) & set(out.kinds)))
+
         body = list(body)
         while k < len(body):
             c = body[k]
@@ -128,24 +158,54 @@ class Compiler:
                     while k + len(run) < len(body) and k + len(run) != delta_at and self._same_row(body[k + len(run)], c, here.table):
                         run.append(body[k + len(run)])
                 if here is not None and self.store.graph is None:
-                    out = join(out, self.star(run))
+                    out = joined(self.star(run), k + len(run))
                     k += len(run)
                     continue
-                out = join(out, self.atom(c, delta if k == delta_at else None, kinds))
+                out = joined(self.atom(c, delta if k == delta_at else None, kinds), k + 1)
             elif isinstance(c, Filter):
-                out = Solutions(self._frame(out).where(as_bool(compile_expression(c.expr, out.env(), self.ctx))), out.kinds)
+                df = self._frame(out)
+                staged, expr, env = self._staged(df, c.expr, out.env())
+                out = Solutions(staged.where(as_bool(compile_expression(expr, env, self.ctx))).select(*df.columns), out.kinds)
             elif isinstance(c, Set):
-                v = compile_expression(c.expr, out.env(), self.ctx)
                 df = self._frame(out)
+                staged, expr, env = self._staged(df, c.expr, out.env())
+                v = compile_expression(expr, env, self.ctx)
                 if c.var in out.kinds:
-                    out = Solutions(df.where(as_term(out.env()[c.var]) == as_term(v)), out.kinds)
+                    out = Solutions(staged.where(as_term(out.env()[c.var]) == as_term(v)).select(*df.columns), out.kinds)
                 else:
-                    out = Solutions(df.withColumn(c.var, v.col).where(F.col(f"`{c.var}`").isNotNull()), {**out.kinds, c.var: v.kind})
+                    if v.kind == "term" and expr[0] in ("+", "-", "*") or computed & expression_variables(c.expr):
+                        staged = _once(staged, c.var, F.array_compact(F.array(v.col)))
+                    else:
+                        staged = staged.withColumn(c.var, v.col).where(F.col(f"`{c.var}`").isNotNull())
+                    computed.add(c.var)
+                    out = Solutions(staged.select(*[F.col(f"`{k}`") for k in (*df.columns, c.var)]), {**out.kinds, c.var: v.kind})
             else:
                 out = self.negation(out, c)
             k += 1
         return out
 
+    def _staged(self, df: DataFrame, e: tuple, env: dict[str, V]) -> tuple[DataFrame, tuple, dict[str, V]]:
+        """Arithmetic inside arithmetic over terms becomes a column of its own, so that plans grow with the text of an
+        expression and not with its depth."""
+        env = dict(env)
+
+        def walk(e: object, inner: bool) -> object:
+            nonlocal df
+            if not isinstance(e, tuple) or e[0] in ("var", "term"):
+                return e
+            lead = 2 if e[0] == "call" else 1
+            sums = e[0] in ("+", "-", "*")
+            e = (*e[:lead], *[walk(x, sums) for x in e[lead:]])
+            if inner and sums and (v := compile_expression(e, env, self.ctx)).kind == "term":
+                name = f"__e{len(env)}"
+                df = _once(df, name, F.array(v.col))
+                env[name] = V("term", F.col(name))
+                return ("var", name)
+            return e
+
+        expr = walk(e, False)
+        return df, expr, env
+
     def _same_row(self, c, first: Atom, table: str) -> bool:
         if not isinstance(c, Atom) or c.s != first.s or not isinstance(c.p, str):
             return False
@@ -169,6 +229,8 @@ class Compiler:
                 a, b = out.env()[k], V(inner.kinds[k], F.col(f"`{n}`"))
                 conditions.append(a.col == b.col if a.kind == b.kind else as_term(a) == as_term(b))
         conditions += [F.coalesce(as_bool(compile_expression(x.expr, env, self.ctx)), F.lit(False)) for x in c.body if isinstance(x, Filter)]
+        if not conditions:  # all or nothing: one row decides
+            right = right.limit(1)
         on = F.lit(True)
         for x in conditions:
             on = on & x
@@ -183,7 +245,9 @@ class Compiler:
     def head(self, atoms: list[Atom], found: Solutions, rule: int, as_terms: bool) -> list[tuple[str | None, Relation | DataFrame]]:
         """(predicate, relation) of each head atom; (None, triples) for variable predicates or if as_terms."""
         env, df = found.env(), self._frame(found)
-        seed = F.concat_ws("\x1f", F.lit(str(rule)), *[as_term(env[k]) for k in sorted(env) if not k.startswith("__b")])
+
+        def seed() -> Column:
+            return F.concat_ws("\x1f", F.lit(str(rule)), *[as_term(env[k]) for k in sorted(env) if not k.startswith("__b")])
 
         def value(t: object) -> V:
             if isinstance(t, Var):
@@ -191,7 +255,7 @@ class Compiler:
             if isinstance(t, Nested):
                 return FUNCTIONS["TRIPLE"](*[V("term", as_term(value(x))) for x in (t.s, t.p, t.o)])
             if t.startswith("_:"):
-                return V("term", F.concat(F.lit("_:sk_"), F.md5(F.concat_ws("\x1f", seed, F.lit(t)))))
+                return V("term", F.concat(F.lit("_:sk_"), F.md5(F.concat_ws("\x1f", seed(), F.lit(t)))))
             return V("term", F.lit(t)) if as_terms else constant(t)
 
         out = []

@@ -15,18 +15,18 @@ from ferrule.terms import TYPE, Var, iri
 
 KEYS: dict[str, Column | str] = {
     "region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id",
-    "documents": "doc_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id",
+    "documents": "doc_id", "labels": "doc_id", "pages": "page_id", "benchmark": "item_id", "embeddings": "vec_id",
 }
 HEAD = "PREFIX : <urn:table#>\n"
 
 
 def store_of(spark: SparkSession, sf_dir: str, *tables: str) -> Store:
     """Tables with one predicate a column (:c_name and so on), subject the primary key. lineitem has no
-    key, so its subject is made from all columns; conversations are keyed by conversation and turn."""
+    key, so its subject is made of two hashes of all columns; conversations are keyed by conversation and turn."""
     store = Store(spark)
     for t in tables:
         df = spark.read.parquet(f"{sf_dir}/{t}.parquet")
-        key = F.xxhash64(*df.columns) if t == "lineitem" else F.concat_ws("-", "conv_id", "turn") if t == "conversations" else KEYS[t]
+        key = F.concat_ws("-", F.xxhash64(*df.columns), F.xxhash64(F.lit(1), *df.columns)) if t == "lineitem" else F.concat_ws("-", "conv_id", "turn") if t == "conversations" else KEYS[t]
         store.add_table(t, df, key, "urn:table#")
     return store
 

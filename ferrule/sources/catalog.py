@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ferrule.functions.expressions import V, as_term, kind_of
 
 
+#: Relations of the evaluation itself, which no pattern with a variable predicate sees.
+INTERNAL = frozenset({"<urn:implies>"})
+
+
 @dataclass(frozen=True)
 class Relation:
     """Pairs (s, o) with the kinds of their columns."""
@@ -79,6 +83,8 @@ class Store:
         """(s, p, o) of every predicate, as terms."""
         parts = [] if self.graph is None else [self.graph.select("s", "p", "o")]
         for p in {**self.predicates, **self.derived}:
+            if p in INTERNAL:
+                continue
             rel = self.derived[p] if p in self.derived and p not in self.predicates else self.scan(p)
             parts.append(rel.as_terms().df.select("s", F.lit(p).alias("p"), "o"))
         out = parts[0] if parts else self.spark.createDataFrame([], "s string, p string, o string")

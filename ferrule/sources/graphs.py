@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import terms as T
@@ -67,6 +67,12 @@ def format_triples(triples: DataFrame, prefixes: dict[str, str]) -> list[str]:
 
 
 def write_nquads(triples: DataFrame, path: str) -> None:
-    """One line a triple; plain and xsd:string literals are written alike."""
-    plain = lambda c: F.regexp_replace(F.regexp_replace(c, r"\n", r"\\\\n"), rf"\^\^<{T.STRING}>$", "")
-    triples.select(F.concat_ws(" ", "s", "p", plain(F.col("o")), F.lit(".")).alias("value")).distinct().write.text(path)
+    """One line a triple; plain and xsd:string literals are written alike. Quotes and backslashes of canonical terms
+    are escaped already; line ends are escaped here, so a line stays a line."""
+
+    def line(c: Column) -> Column:
+        for raw, escaped in (("\n", "\\n"), ("\r", "\\r")):
+            c = F.replace(c, F.lit(raw), F.lit(escaped))
+        return F.regexp_replace(c, rf'(?<=")\^\^<{T.STRING}>$', "")
+
+    triples.select(F.concat_ws(" ", line(F.col("s")), "p", line(F.col("o")), F.lit(".")).alias("value")).distinct().write.text(path)

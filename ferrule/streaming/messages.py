@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,6 +78,21 @@ def replay(source: str, base: str = "", include_facts: bool = False, vocabulary:
     return out
 
 
+def replay_logs(logs: DataFrame, log: str = "log", text: str = "text", include_facts: bool = False, vocabulary: str = LOG) -> DataFrame:
+    """(log, s, p, o): many logs, one a row, each replayed where it lies; blank nodes are kept apart by log. A null log is empty."""
+
+    def of(frames):
+        for pdf in frames:
+            for name, source in zip(pdf["log"], pdf["text"], strict=True):
+                rows = replay(source or "", "", include_facts, vocabulary)
+                scope = f"_:l{fnv(str(name))}_"
+                apart = lambda t: re.sub(r"(?<![^ ])_:(?=\w)", scope, t) if not t.startswith('"') else t
+                yield pd.DataFrame([(name, *map(apart, t)) for t in rows], columns=["log", "s", "p", "o"])
+
+    kind = dict(logs.dtypes)[log]
+    return logs.select(F.col(log).alias("log"), F.col(text).cast("string").alias("text")).mapInPandas(of, f"log {kind}, s string, p string, o string")
+
+
 def envelopes(rows: DataFrame, log: str, order: str) -> DataFrame:
     """Rows of many logs with their offset (from 1) and the order value of the next envelope."""
     w = Window.partitionBy(log).orderBy(order)
