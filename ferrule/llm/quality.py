@@ -188,3 +188,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rules = fit(docs, table(spark, sf_dir, "labels"))
     return judged(docs.select("doc_id", "text"), rules).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def base_quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op6 has besides the learned verdict, so that SQL can tell it all."""
+    return with_stats(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", *BASE, "base_failed")
+
+
+BASE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT r, count(*) - count(DISTINCT x) AS n_dup_lines FROM (SELECT r, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY r),
+g AS (SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (SELECT r, i, md5_number(array_to_string(w[i : i + 7], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8))),
+p AS (SELECT r, least(8, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i), 8)) AS more FROM g WHERE c > 1),
+q AS (SELECT r, sum(more) AS n_repeat_words FROM p GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+       CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(w) < 20 OR 100 * coalesce(n_repeat_words, 0) > 30 * len(w) AS base_failed
+FROM d LEFT JOIN l USING (r) LEFT JOIN q USING (r)
+"""

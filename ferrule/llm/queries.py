@@ -10,11 +10,11 @@ from ferrule.llm.chain_dedup import op5_chain_dedup
 from ferrule.llm.decontaminate import OP8_SQL, op8_decontamination
 from ferrule.llm.html_text import op4_html_text
 from ferrule.llm.mixing import op3_mixing
-from ferrule.llm.ngram_join import op1_ngram_join
-from ferrule.llm.quality import op6_quality_rules
+from ferrule.llm.ngram_join import OP1_SQL, op1_ngram_join
+from ferrule.llm.quality import BASE_SQL, base_quality_counts, op6_quality_rules
 from ferrule.llm.secrets import op7_secrets
 from ferrule.llm.sharding import op9_sharding
-from ferrule.llm.suffix_dedup import op10_suffix_dedup
+from ferrule.llm.suffix_dedup import OP10_SQL, op10_suffix_dedup
 from ferrule.llm.token_files import op2_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -28,8 +28,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_sharding": op9_sharding,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "base_quality_counts": base_quality_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": OP1_SQL,
     "op8_decontamination": OP8_SQL,
+    "op10_suffix_dedup": OP10_SQL,
+    "base_quality_counts": BASE_SQL,
 }

@@ -308,3 +308,20 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int =
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: The same from all windows: hexadecimal text, cut into blocks so that a window is a short way from its start.
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+e AS (SELECT r, o, least(1024, n - 399 - o) AS m, substring(h, 2 * o + 1, 2846) AS h FROM (SELECT r, h, n, unnest(range(0, n - 399, 1024)) AS o FROM d WHERE n >= 400)),
+w AS (SELECT r, o + j AS i, md5_number(substring(h, 2 * j + 1, 800)) AS k FROM (SELECT r, o, h, unnest(range(0, m)) AS j FROM e)),
+c AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+p AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS opens FROM w SEMI JOIN c USING (k)),
+q AS (SELECT r, i, sum(CAST(opens AS INT)) OVER (PARTITION BY r ORDER BY i) AS g FROM p),
+s AS (SELECT r, g, min(i) AS a, max(i) + 400 AS b FROM q GROUP BY r, g),
+g AS (SELECT s.r, s.a AS pos, substring(h, 2 * coalesce(lag(b) OVER (PARTITION BY s.r ORDER BY a), 0) + 1, 2 * (a - coalesce(lag(b) OVER (PARTITION BY s.r ORDER BY a), 0))) AS piece FROM s JOIN d ON d.r = s.r
+      UNION ALL SELECT d.r, d.n, substring(h, 2 * coalesce(e, 0) + 1) FROM d LEFT JOIN (SELECT r, max(b) AS e FROM s GROUP BY r) USING (r)),
+k AS (SELECT r, sha256(unhex(string_agg(piece, '' ORDER BY pos))) AS kept_sha256 FROM g GROUP BY r),
+t AS (SELECT r, sum(b - a) AS removed, count(*) AS runs FROM s GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(runs, 0) AS BIGINT) AS n_spans, kept_sha256 FROM d JOIN k USING (r) LEFT JOIN t USING (r)
+"""
