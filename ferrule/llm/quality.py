@@ -167,7 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Ru
     few, path = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality", "at").agg(F.min("text").alias("text")), "labelled")
     sample = with_stats(few).where("not base_failed").select(*FEATURES, "quality", "at", "doc_id").collect()
     drop_path(docs.sparkSession, path)
-    return learn([r.asDict() | {"bad": int(r["quality"] == 0), "part": int(r["at"] % 3 == 0)} for r in sorted(sample, key=lambda r: (r["at"], r["doc_id"]))])
+    seen, rows = [0, 0], []
+    for r in sorted(sample, key=lambda r: (r["at"], r["doc_id"])):  # each third of either kind is for pruning
+        bad = int(r["quality"] == 0)
+        rows.append(r.asDict() | {"bad": bad, "part": int(seen[bad] % 3 == 2)})
+        seen[bad] += 1
+    return learn(rows)
 
 
 def verdict(rules: list[Rule]) -> Column:
