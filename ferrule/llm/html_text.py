@@ -167,8 +167,12 @@ def skeleton(root: Element, article: int) -> list:
         path.pop()
         if path:
             siblings = path[-1][0][3]
-            if siblings and siblings[-1][0] == made[0]:
-                siblings[-1] = merge(siblings[-1], made, True)
+            last = siblings[-1] if siblings else None
+            if last is not None and last[0] == made[0] and not last[3] and not made[3]:  # leaves: nothing to match
+                if made[1][0] not in last[1]:
+                    last[1] = sorted({*last[1], *made[1]})
+            elif last is not None and last[0] == made[0]:
+                siblings[-1] = merge(last, made, True)
             else:
                 siblings.append(made)
     return top
