@@ -153,6 +153,12 @@ class Known:
             self.files = [written(out)[0]]
 
 
+def _wider(a: str, b: str) -> str:
+    """Of two types of one kind, that which holds the values of both."""
+    order = ["tinyint", "smallint", "int", "bigint", "float", "double"]
+    return max(a, b, key=order.index) if a in order and b in order else a
+
+
 def rows_spark() -> SparkSession:
     return SparkSession.getActiveSession()
 
@@ -316,8 +322,16 @@ def evaluate(program: Program, analysis: Analysis, store: Store, options: Option
         start, known = start_of(p), state[p]
         rows = new if p is None else new.df
         if known.schema is not None or start is not None:
-            types = {f.name: f.dataType for f in (known.schema or start.schema)}
-            rows = rows.select(*[F.col(c).cast(types[c]) for c in key])
+            types = {f.name: f.dataType.simpleString() for f in (known.schema or start.schema)}
+            wider = {c: _wider(types[c], t) for c, t in rows.dtypes}
+            if wider != types:  # what is known takes the wider type too
+                cast = lambda df: df.select(*[F.col(c).cast(wider[c]) for c in key])
+                start = bases[p] = None if start is None else cast(start)
+                known.files = [cast(x) for x in known.files]
+                if known.few is not None:
+                    known.few = cast(constant_frame(spark, known.few, known.schema)).toArrow()
+            rows = rows.select(*[F.col(c).cast(wider[c]) for c in key])
+            known.schema = rows.schema
         found = None
         if start is None and not known.files:  # all that is known is here: a few new rows are compared here too
             got = rows.limit(LOCAL_ROWS + 1).toArrow()
@@ -325,7 +339,7 @@ def evaluate(program: Program, analysis: Analysis, store: Store, options: Option
                 found = got.take(pa.array(known.unseen(got), pa.int64()))
         if found is None:
             rows = rows.distinct()
-            if start is not None or known.schema is not None:
+            if start is not None or known.files or known.few is not None:
                 rows = rows.join(known.frame(spark, start), key, "left_anti")
             found, n = taken(rows, counts.get(p, 0))
         else:
