@@ -523,4 +523,4 @@ def closure_of(spark: SparkSession, facts: list[tuple[str, str]], sources: set[s
                     yield pa.RecordBatch.from_arrays([pa.array([s] * len(part), pa.string()), pa.array(part, pa.string())], names=["s", "o"])
 
     rows = spark.createDataFrame([(s,) for s in begin], "s string")
-    return rows.repartition(max(1, min(len(begin), 200))).mapInArrow(reached, "s string, o string")
+    return rows.repartition(max(1, min(len(begin) // 16, 200))).mapInArrow(reached, "s string, o string")

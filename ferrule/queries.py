@@ -144,7 +144,8 @@ def taxonomy_chain(spark: SparkSession, sf_dir: str, depth: int = 100) -> DataFr
     c = lambda k: iri(f"urn:table#N{k}")
     rules = [Rule([Atom(x, TYPE, c(k + 1))], [Atom(x, TYPE, c(k))], f"level {k}") for k in range(depth)]
     regions = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.concat(F.lit("<urn:region#"), F.col("r_regionkey").cast("string"), F.lit(">")).alias("s"), F.lit(TYPE).alias("p"), F.lit(c(0)).alias("o"))
-    result = run(spark, rules_as_data(Program(rules=rules)), Store(spark, graph=regions))
+    store = Store(spark, graph=regions)
+    result = run(spark, rules_as_data(Program(rules=rules), store), store)
     return result.inferred().where(F.col("p") == TYPE).select(F.regexp_extract("s", "#(.*)>", 1).cast("long").alias("region"), F.regexp_extract("o", "#N(.*)>", 1).cast("long").alias("level"))
 
 
