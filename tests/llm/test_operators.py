@@ -297,3 +297,36 @@ def test_passages_extend_beyond_slices(spark):
     got = {(r.doc_id, r.ref_doc_id): r for r in chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert [got[1, 0][c] for c in ("start", "end", "ref_start", "ref_end", "n_equal")] == [11, 610, 31, 630, 500]
     assert got[2, 0].n_equal == got[2, 1].n_equal == 200
+
+
+def test_passages_of_frequent_seeds_alone(spark):
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    lines = [text(12) for _ in range(5)]
+    docs = [(10 * k + j, f"{text(30)} {line} {text(30)}") for k, line in enumerate(lines) for j in range(10)]  # each line in 10 documents
+    spaced = lambda own: " ".join(f"{x} {next(fresh)}" if own else x for x in lines)
+    docs += [(100, f"{text(20)} {spaced(True)} {text(20)}"), (101, f"{text(40)} {spaced(True)} {text(5)}")]
+    got = chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.ref_doc_id) for r in got} == {(101, 100)}
+    assert [(r.start, r.end, r.ref_start, r.ref_end, r.n_equal) for r in got] == [(40, 104, 20, 84, 60)]
+
+
+def test_passages_of_frequent_and_rare_seeds(spark):
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    lines, rare = [text(25), text(25)], text(4)
+    docs = [(10 * k + j, f"{text(30)} {line} {text(30)}") for k, line in enumerate(lines) for j in range(10)]
+    docs += [(100 + k, f"{text(20)} {lines[0]} {text(3)} {rare} {text(3 + k)} {lines[1]} {text(20)}") for k in range(2)]
+    got = chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.ref_doc_id, r.n_equal) for r in got] == [(101, 100, 54)]
+
+
+def test_passages_at_inner_places_of_repeats(spark):
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    lines = [text(12) for _ in range(5)]
+    alone = lambda n: " ".join(f"{x} {text(20)}" for _ in range(n) for x in lines)
+    spaced = lambda: " ".join(f"{x} {next(fresh)}" for x in lines)
+    docs = [(0, f"{alone(3)} {spaced()} {text(20)} {alone(7)}"), (1, f"{alone(6)} {spaced()} {text(20)} {alone(4)}")]
+    got = chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert any(r.n_equal == 60 for r in got)
