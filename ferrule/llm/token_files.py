@@ -103,11 +103,8 @@ class Encoder:
         missing = [keys[i] for i in gaps]
         older = list(map(self.older.get, missing))
         self._learn([k for k, v in zip(missing, older, strict=True) if v is None])
-        for i, k, v in zip(gaps, missing, older, strict=True):
-            if v is None:
-                v = self.seen[k]
-            else:
-                self.seen[k] = v
+        self.seen.update((k, v) for k, v in zip(missing, older, strict=True) if v is not None)
+        for i, v in zip(gaps, map(self.seen.__getitem__, missing), strict=True):
             values[i] = v
         return values
 
@@ -124,7 +121,7 @@ class Encoder:
         cut = pc.and_(pc.match_substring_regex(stems, _STEM), pc.not_equal(stems, whole))
         marks = pc.replace_substring_regex(whole.filter(cut), _UNMARKED, "\t\t")
         pieces = pa.concat_arrays([pc.if_else(cut, stems, whole), marks]).dictionary_encode()
-        values = self._of_keys(pieces.dictionary.to_pylist())
+        values = self._of_keys(pieces.dictionary.to_numpy(zero_copy_only=False).tolist())
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
         codes, marked = pieces.indices.to_numpy(), cut.to_numpy(zero_copy_only=False)
         count = 1 + marked
@@ -161,10 +158,24 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def in_ranges(docs: DataFrame, n: int) -> DataFrame:
+    """docs dealt by ascending doc_id over n partitions of about equal counts, rows without doc_id in the first. The bounds
+    come from doc_id alone: repartitionByRange would read the texts once more for its sample."""
+    bounds = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n).alias("b")).first()["b"] if n > 1 else None
+    if not bounds:
+        return docs.coalesce(1)
+    values = F.array(*map(F.lit, sorted(set(bounds))))
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))))
+    # how many bounds are below doc_id, by halving: beyond the last bound the comparison is null
+    below = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(values, at + step - 1) < F.col("doc_id"), at + step).otherwise(at))
+    return docs.repartitionById(n, below)
+
+
 def write_tokens(docs: DataFrame, vocabulary: str, path: str, end_id: int = 0) -> None:
     """Write docs (doc_id, text) in ascending doc_id order: part and first say where a row stands."""
     spark = docs.sparkSession
-    ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    ordered = in_ranges(narrow, int(spark.conf.get("spark.sql.shuffle.partitions"))).sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def encode(batches):
         part, first, end = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4")

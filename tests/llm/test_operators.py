@@ -88,6 +88,24 @@ def test_token_files(spark, frame, corpus, tmp_path):
     assert got == want
 
 
+def test_token_ranges_come_from_doc_id_alone(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    ids = [None, None, *range(0, 3000, 3), *[7] * 400, -(2**63), 2**63 - 1]
+    random.Random(5).shuffle(ids)
+    spark.createDataFrame([(i, "a b") for i in ids], "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    largest = []
+    for n in (1, 2, 13):
+        dealt = token_files.in_ranges(docs, n)
+        assert "rangepartitioning" not in dealt._jdf.queryExecution().executedPlan().toString()
+        got = sorted(tuple(r) for r in dealt.select(F.spark_partition_id(), F.coalesce("doc_id", F.lit(-(2**63)))).collect())
+        assert [x for _, x in got] == sorted(-(2**63) if i is None else i for i in ids)
+        largest.append(max(collections.Counter(k for k, _ in got).values()))
+    assert largest[0] == len(ids) and largest[2] < len(ids) // 2
+    assert token_files.in_ranges(docs.where("doc_id is null"), 5).count() == 2 and token_files.in_ranges(docs.limit(0), 5).count() == 0
+
+
 def test_encoder_at_odd_white_space():
     import public_tokenizers
     from tokenizers import Tokenizer
