@@ -348,3 +348,29 @@ def test_passages_at_inner_places_of_repeats(spark):
     docs = [(0, f"{alone(3)} {spaced()} {text(20)} {alone(7)}"), (1, f"{alone(6)} {spaced()} {text(20)} {alone(4)}")]
     got = chain_dedup.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert any(r.n_equal == 60 for r in got)
+
+
+def test_pieces_are_moved_in_shares(spark, monkeypatch):
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    lines = [text(12) for _ in range(5)]
+    docs = [(10 * k + j, f"{text(30)} {line} {text(30)}") for k, line in enumerate(lines) for j in range(10)]
+    docs += [(100 + j, f"{text(20)} " + " ".join(f"{x} {next(fresh)}" for x in lines) + f" {text(20)}") for j in range(3)]
+    df, kept, store = spark.createDataFrame(docs, "doc_id long, text string"), [], chain_dedup.stored
+
+    def stored(table, name):
+        out = store(table, name)
+        if name == "pieces":
+            kept.append([r.key for r in out[0].select("key").collect()])
+        return out
+
+    monkeypatch.setattr(chain_dedup, "stored", stored)
+    want = sorted(map(tuple, chain_dedup.passages(df).collect()))
+    assert {r[3] for r in want} and len(kept) == 2
+    whole = sorted(kept[1])
+    kept.clear()
+    monkeypatch.setattr(chain_dedup, "PIECES", 1)
+    monkeypatch.setattr(chain_dedup, "PIECE_TURNS", 5)
+    assert sorted(map(tuple, chain_dedup.passages(df).collect())) == want
+    assert len(kept) == 6 and all({k % 5 for k in keys} <= {turn} for turn, keys in enumerate(kept[1:]))
+    assert sorted(k for keys in kept[1:] for k in keys) == whole
