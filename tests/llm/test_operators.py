@@ -374,3 +374,80 @@ def test_pieces_are_moved_in_shares(spark, monkeypatch):
     assert sorted(map(tuple, chain_dedup.passages(df).collect())) == want
     assert len(kept) == 6 and all({k % 5 for k in keys} <= {turn} for turn, keys in enumerate(kept[1:]))
     assert sorted(k for keys in kept[1:] for k in keys) == whole
+
+
+def _plain_parts(u, v, chain, gram, least_words, least_identity):
+    """Passages of a chain, each part aligned anew."""
+
+    def side(x, y, step):
+        value = top = best = same = equal = 0
+        for i in range(min(len(u) - x, len(v) - y) if step > 0 else min(x, y) + 1):
+            if u[x + i * step] == v[y + i * step]:
+                value, same = value + 1, same + 1
+                if value > top:
+                    top, best, equal = value, i + 1, same
+            else:
+                value -= 2
+                if top - value >= 6:
+                    break
+        return best, equal
+
+    (x, y), (x1, y1) = chain[0], chain[-1]
+    (left, le), (right, re) = side(x - 1, y - 1, -1), side(x1 + gram, y1 + gram, 1)
+    n = gram + le + re
+    for (p, q), (p1, q1) in zip(chain, chain[1:], strict=False):
+        if p1 >= p + gram and q1 >= q + gram:
+            n += gram + chain_dedup._matches(u[p + gram : p1], v[q + gram : q1])
+        else:
+            n += min(p1 - p, q1 - q)
+    a, b, c, d = x - left, x1 + gram + right, y - left, y1 + gram + right
+    if n >= least_identity * max(b - a, d - c):
+        return {(a, b, c, d, n)} if min(b - a, d - c) >= least_words else set()
+    if len(chain) == 1:
+        return set()
+    k = max(range(1, len(chain)), key=lambda k: max(chain[k][0] - chain[k - 1][0], chain[k][1] - chain[k - 1][1]))
+    return _plain_parts(u, v, chain[:k], gram, least_words, least_identity) | _plain_parts(u, v, chain[k:], gram, least_words, least_identity)
+
+
+def test_parts_equal_plain_alignment_and_sides_are_told_once(monkeypatch):
+    rnd, calls, reach = random.Random(11), [], chain_dedup.Sides.reach
+    monkeypatch.setattr(chain_dedup.Sides, "reach", lambda self, *at: calls.append(at) or reach(self, *at))
+    found = 0
+    for k in [3, 8, 40] * 60:
+        u = [rnd.randrange(k) for _ in range(rnd.randint(20, 300))]
+        v = [x if rnd.random() < 0.9 else rnd.randrange(k) for x in u if rnd.random() < 0.97]
+        u, v = np.array(u, np.int32), np.array(v, np.int32)
+        for chain in chain_dedup.chains_of(u, v, 4):
+            got = chain_dedup.parts_of(chain_dedup.Sides(u, v), chain, (0, 0), (False, False), 4, 10, 0.8)[0]
+            assert {p[:5] for p in got} == _plain_parts(u, v, chain, 4, 10, 0.8)
+            found += len(got)
+    assert found > 100
+    n, at, chain, calls[:] = 60, 0, [], []
+    for k in range(n):  # each gap is wider than the one before: cut one by one from the right
+        chain.append((at, at))
+        at += 8 + k
+    u = np.arange(at + 10, dtype=np.int32)
+    v = u + 10**6
+    for x, _ in chain:
+        v[x : x + 4] = u[x : x + 4]
+    assert chain_dedup.parts_of(chain_dedup.Sides(u, v), chain, (0, 0), (False, False), 4, 10, 0.8)[0] == set()
+    assert len(calls) == 2 * n
+
+
+def test_pairs_are_dealt_evenly(spark, monkeypatch):
+    fresh = (f"w{k}" for k in range(10**9))
+    text = lambda n: " ".join(next(fresh) for _ in range(n))
+    lines = [text(12) for _ in range(5)]
+    docs = [(10 * k + j, f"{text(30)} {line} {text(30)}") for k, line in enumerate(lines) for j in range(10)]
+    docs += [(100 + j, f"{text(20)} " + " ".join(f"{x} {next(fresh)}" for x in lines) + f" {text(20)}") for j in range(6)]
+    df, tasks, deal = spark.createDataFrame(docs, "doc_id long, text string"), [], chain_dedup.arrow_map
+
+    def arrow_map(table, fn, schema):
+        tasks.append((fn.__name__, table.rdd.getNumPartitions() if fn.__name__ == "aligned" else 0))
+        return deal(table, fn, schema)
+
+    want = sorted(map(tuple, chain_dedup.passages(df).collect()))
+    monkeypatch.setattr(chain_dedup, "arrow_map", arrow_map)
+    monkeypatch.setattr(chain_dedup, "PAIRS", 3)
+    assert sorted(map(tuple, chain_dedup.passages(df).collect())) == want and len(want) == 15
+    assert [n for name, n in tasks if name == "aligned"] == [6]
