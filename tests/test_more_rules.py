@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_entry import SF, rows
 
 import ferrule.function_queries  # noqa: F401  registers its queries
@@ -11,6 +12,7 @@ from ferrule.operators.compare import isomorphic
 from ferrule.operators.engine import Options, RuleError, analyze, compile_program, query, run
 from ferrule.plans import demand
 from ferrule.queries import ORACLE_SQL, QUERIES
+from ferrule.sources.catalog import Store
 from ferrule.sources.graphs import format_triples, from_triples, read_ntriples, write_nquads
 
 P = "PREFIX : <http://t/>\n"
@@ -82,3 +84,37 @@ def test_sudoku():
     done = solve("." * 81)
     assert len(done) == 81 and solve(done) == done
     assert parse_graph('<a> <b> "01"^^<http://www.w3.org/2001/XMLSchema#integer> .', lexical=True)[0][0][2].startswith('"01"')
+
+
+def rivals(spark, rows):
+    return Store(spark).add_table("t", spark.createDataFrame(rows, "k long, g int, x double"), "k", "http://t/")
+
+
+ODD = [(k, k % 2, float(k * 7 % 30)) for k in range(40)] + [(3, 0, 1.0), (3, 1, 30.0), (3, 1, 30.0), (4, None, 5.0), (5, 1, None), (None, 1, 50.0), (6, 0, float("nan"))]
+
+
+def over(x, y):
+    """x > y where nan is above all."""
+    return x == x and y == y and x > y or x != x and y == y
+
+
+def test_a_least_value_stands_for_all_pairs(spark):
+    lower = "RULE { ?p :low ?g } WHERE { ?p :g ?g ; :x ?x . ?q :g ?g ; :x ?y . FILTER(?y < ?x) }"
+    got = run(spark, P + lower, rivals(spark, ODD)).relation("<http://t/low>")
+    rows = [r for r in ODD if None not in r]
+    all_rows = [r for r in ODD if None not in r[1:]]  # as in SQL, rows without a key are rivals too
+    assert {tuple(r) for r in got.collect()} == {(k, g) for k, g, x in rows if any(g == h and over(x, y) for _, h, y in all_rows)}
+    assert "min(" in got._jdf.queryExecution().optimizedPlan().toString()
+    top = run(spark, P + "RULE { ?p :top ?g } WHERE { ?p :g ?g ; :x ?x . NOT { ?q :g ?g ; :x ?y . FILTER(?x < ?y) } }", rivals(spark, ODD)).relation("<http://t/top>")
+    assert {tuple(r) for r in top.collect()} == {(k, g) for k, g, x in rows if not any(g == h and over(y, x) for _, h, y in all_rows)}
+    assert "max(" in top._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_of_one_group_are_dealt_over_tasks_and_met_once(spark):
+    rule = "RULE { ?a :above ?b } WHERE { ?a :g ?g ; :x ?x . ?b :g ?g ; :x ?y . FILTER(?x > ?y) }"
+    got = run(spark, P + rule, rivals(spark, ODD)).relation("<http://t/above>")
+    rows = [r for r in ODD if None not in r]
+    found = [tuple(r) for r in got.collect()]
+    assert sorted(found) == sorted({(k, j) for k, g, x in rows for j, h, y in rows if g == h and over(x, y)})
+    one = run(spark, P + rule, rivals(spark, [(k, 1, float(k)) for k in range(300)])).relation("<http://t/above>")
+    assert one.count() == 300 * 299 // 2 and one.select(F.spark_partition_id()).distinct().count() >= 16
