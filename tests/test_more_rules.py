@@ -118,3 +118,29 @@ def test_pairs_of_one_group_are_dealt_over_tasks_and_met_once(spark):
     assert sorted(found) == sorted({(k, j) for k, g, x in rows for j, h, y in rows if g == h and over(x, y)})
     one = run(spark, P + rule, rivals(spark, [(k, 1, float(k)) for k in range(300)])).relation("<http://t/above>")
     assert one.count() == 300 * 299 // 2 and one.select(F.spark_partition_id()).distinct().count() >= 16
+
+
+FORMS = {
+    "right": "RULE { ?x :up ?y } WHERE { ?x :g ?y } RULE { ?x :up ?z } WHERE { ?y :g ?z . ?x :up ?y }",
+    "left": "RULE { ?x :up ?y } WHERE { ?x :g ?y } RULE { ?x :up ?z } WHERE { ?x :g ?y . ?y :up ?z }",
+    "self": "RULE { ?x :up ?y } WHERE { ?x :g ?y } TRANSITIVE(:up)",
+}
+TREE = [(k, (k - 1) // 2) for k in range(1, 30)] + [(30, 31), (31, 32), (32, 30), (33, 31), (34, 34), (35, None), (None, 3)]
+
+
+@pytest.mark.parametrize("form", FORMS)
+@pytest.mark.parametrize("edges", [TREE, [(b, a) for a, b in TREE], [*TREE, (7, 30), (8, 31), (7, 3), (7, 3)]], ids=["one successor", "one predecessor", "several"])
+def test_closures_of_chains(spark, form, edges):
+    store = Store(spark).add_table("t", spark.createDataFrame(edges, "k long, g long"), "k", "http://t/")
+    got = [tuple(r) for r in run(spark, P + FORMS[form], store).relation("<http://t/up>").collect()]
+    known = {e for e in edges if None not in e}
+    while more := {(a, d) for a, b in known for c, d in known if b == c} - known:
+        known |= more
+    assert sorted(got) == sorted(known)
+
+
+def test_passes_of_a_chain_are_the_logarithm_of_its_length(spark):
+    store = Store(spark).add_table("t", spark.createDataFrame([(k, k + 1) for k in range(300)], "k int, g long"), "k", "http://t/")
+    result = run(spark, P + FORMS["right"], store, Options(max_iterations=12))
+    got = result.relation("<http://t/up>")
+    assert got.count() == 300 * 301 // 2 and result.iterations <= 10 and dict(got.dtypes) == {"s": "int", "o": "bigint"}
