@@ -144,3 +144,14 @@ def test_passes_of_a_chain_are_the_logarithm_of_its_length(spark):
     result = run(spark, P + FORMS["right"], store, Options(max_iterations=12))
     got = result.relation("<http://t/up>")
     assert got.count() == 300 * 301 // 2 and result.iterations <= 10 and dict(got.dtypes) == {"s": "int", "o": "bigint"}
+
+
+def test_texts_of_terms_are_read_once_a_step(spark):
+    plan = QUERIES["fn_datatypes"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("regexp_") for line in plan.splitlines()) <= 6 and "RepartitionByExpression" in plan
+    program = 'RULE { ?k :v ?v } WHERE { ?k :s ?s . SET(?t := STRLANG(?s, "DE")) SET(?v := STR(?t)) } RULE { ?k :d ?d } WHERE { ?k :s ?s . SET(?d := STR(DATATYPE(?s))) }'
+    texts = ["", "plain", 'a "quote"', "back\\slash", "line\nbreak", "<b>", "😀 é", '"', "\\"]
+    store = Store(spark).add_table("t", spark.createDataFrame(list(enumerate(texts)), "k int, s string"), "k", "http://t/")
+    result = run(spark, P + program, store)
+    assert sorted(map(tuple, result.relation("<http://t/v>").collect())) == list(enumerate(texts))
+    assert {r.o for r in result.relation("<http://t/d>").collect()} == {"http://www.w3.org/2001/XMLSchema#string"}
