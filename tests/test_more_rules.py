@@ -14,6 +14,7 @@ from ferrule.plans import demand
 from ferrule.queries import ORACLE_SQL, QUERIES
 from ferrule.sources.catalog import Store
 from ferrule.sources.graphs import format_triples, from_triples, read_ntriples, write_nquads
+from ferrule.streaming.messages import replay, replay_logs
 
 P = "PREFIX : <http://t/>\n"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings", "conversations")
@@ -155,3 +156,12 @@ def test_texts_of_terms_are_read_once_a_step(spark):
     result = run(spark, P + program, store)
     assert sorted(map(tuple, result.relation("<http://t/v>").collect())) == list(enumerate(texts))
     assert {r.o for r in result.relation("<http://t/d>").collect()} == {"http://www.w3.org/2001/XMLSchema#string"}
+
+
+def test_logs_are_replayed_by_many_tasks(spark):
+    text = 'VERSION "1.2-messages"\nPREFIX : <urn:t#>\n\n_:m :turn 1 .\nMESSAGE\n'
+    logs = spark.range(200).select(F.col("id").alias("log"), F.lit(text).alias("text")).repartition(1)
+    got = replay_logs(logs)
+    assert got.groupBy("log").count().agg(F.min("count"), F.max("count"), F.count("*")).first() == (len(replay(text)),) * 2 + (200,)
+    assert got.select(F.spark_partition_id()).distinct().count() >= 16
+    assert got.where("s like '\\_:%'").groupBy("s").agg(F.countDistinct("log").alias("n")).where("n > 1").isEmpty()
